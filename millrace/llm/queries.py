@@ -7,35 +7,48 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import digestindex, licenses, mix
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from millrace.llm import digestindex, licenses, mix, rabitq, toxicity
+from millrace.registry import table
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights = mix.quality_weights(_table(spark, sf_dir, "labels"))
-    return mix.mix(_table(spark, sf_dir, "documents"), weights)
+    weights = mix.quality_weights(table(spark, sf_dir, "labels"))
+    return mix.mix(table(spark, sf_dir, "documents"), weights)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = digestindex.dedup(_table(spark, sf_dir, "documents"), digestindex.new_index(spark))
+    found = digestindex.dedup(table(spark, sf_dir, "documents"), digestindex.new_index(spark))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    found = licenses.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op9_vector_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = rabitq.build(table(spark, sf_dir, "embeddings"))
+    return rabitq.search(index, F.col("vec_id") % 100 == 0, spark)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    predicted = (F.col("score") >= toxicity.ToxicityParams().threshold).cast("int")
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_license_scan": op5_license_scan,
+    "op9_vector_neighbours": op9_vector_neighbours,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_source_mix": mix.MIX_SQL,
     "op4_exact_dedup": digestindex.DEDUP_SQL,
+    "op9_vector_neighbours": rabitq.NEAREST_SQL,
 }
