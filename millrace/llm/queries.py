@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import digestindex, licenses, mix, rabitq, toxicity
+from millrace.llm import bpe, digestindex, licenses, mix, rabitq, tokencount, toxicity
 from millrace.registry import table
 
 
@@ -16,6 +17,10 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(table(spark, sf_dir, "documents"), weights)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = digestindex.dedup(table(spark, sf_dir, "documents"), digestindex.new_index(spark))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -26,6 +31,11 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, digest=True)
+
+
 def op9_vector_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = rabitq.build(table(spark, sf_dir, "embeddings"))
     return rabitq.search(index, F.col("vec_id") % 100 == 0, spark)
@@ -41,8 +51,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
+    "op2_token_counts": op2_token_counts,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_license_scan": op5_license_scan,
+    "op6_byte_bpe": op6_byte_bpe,
     "op9_vector_neighbours": op9_vector_neighbours,
     "op10_toxicity": op10_toxicity,
 }
