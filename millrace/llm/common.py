@@ -40,3 +40,26 @@ def text_or_empty(name: str = "text") -> Column:
 
 def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def stash(df: DataFrame, what: str = "stash") -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: a cut of lineage that stays small."""
+    path = fresh_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+HOT = 1024
+
+
+def tell(rows: DataFrame, table: DataFrame, key: list[str], size: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with one row per key in ``table``, safe against hot keys.
+
+    ``table[size]`` is the number of ``rows`` with the key, out of ``total``.
+    Keys that hold more than 1/HOT of them are at most HOT: a bounded broadcast.
+    """
+    is_hot = F.col(size) * HOT > total
+    met = rows.join(F.broadcast(table.filter(is_hot)), key, "left")
+    cold = met.filter(F.col(size).isNull()).select(*rows.columns)
+    warm = met.filter(F.col(size).isNotNull())
+    return warm.unionByName(cold.join(table.filter(~is_hot).hint("merge"), key))
