@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, digestindex, licenses, minhash, mix, rabitq, suffixdedup, tokencount, toxicity
+from millrace.llm import bpe, digestindex, licenses, linetemplates, minhash, mix, rabitq, suffixdedup, tokencount, toxicity
 from millrace.registry import table
 
 
@@ -21,6 +21,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linetemplates.drop_templates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return found.select("doc_id", "n_lines", "n_dropped", digest.alias("kept_sha256"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = digestindex.dedup(table(spark, sf_dir, "documents"), digestindex.new_index(spark))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -60,6 +66,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_token_counts": op2_token_counts,
+    "op3_line_templates": op3_line_templates,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_license_scan": op5_license_scan,
     "op6_byte_bpe": op6_byte_bpe,
@@ -71,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_source_mix": mix.MIX_SQL,
+    "op3_line_templates": linetemplates.TEMPLATES_SQL,
     "op4_exact_dedup": digestindex.DEDUP_SQL,
     "op9_vector_neighbours": rabitq.NEAREST_SQL,
 }
