@@ -25,8 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def core_queries() -> dict[str, Query]:
-    return {}
+    from millrace.registry_core import QUERIES
+
+    return dict(QUERIES)
 
 
 def core_sql() -> dict[str, str]:
-    return {}
+    from millrace.registry_sql import SQL
+
+    return dict(SQL)
