@@ -13,15 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, digestindex, minhash, mix, toxicity
-from millrace.llm.common import stash
+from millrace.llm.common import stash, whole
 from millrace.registry import table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores at the threshold or above go."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model)
-    return scored.filter(F.col("score") < toxicity.ToxicityParams().threshold).select(*docs.columns)
+    scored = toxicity.score(docs.select(whole(docs).alias("row"), "text"), model)
+    return scored.filter(F.col("score") < toxicity.ToxicityParams().threshold).select("row.*")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +39,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mix.mix(docs, mix.quality_weights(table(spark, sf_dir, "labels")))
     times = taken.select(F.col("doc_id").alias("_id"), F.ceil(F.col("taken") / F.greatest("size", F.lit(1))).cast("int").alias("_times"))
     times = times.filter("_times > 0").groupBy("_id").agg(F.max("_times").alias("_times"))
-    met = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    keyed = docs.select(whole(docs).alias("row"), F.col("doc_id").alias("id"))
+    met = keyed.join(times, F.col("id").eqNullSafe(F.col("_id")))
+    return met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,3 +63,8 @@ def tell(rows: DataFrame, table: DataFrame, key: list[str], size: str, total: in
     cold = met.filter(F.col(size).isNull()).select(*rows.columns)
     warm = met.filter(F.col(size).isNotNull())
     return warm.unionByName(cold.join(table.filter(~is_hot).hint("merge"), key))
+
+
+def whole(docs: DataFrame) -> Column:
+    """A row's columns as one struct, so that helper columns can't clash with any of them."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])

@@ -7,9 +7,9 @@ group of copies of any size costs one row per task), then a sort-merge
 anti-join against the buckets finds the digests not yet known, and those are
 appended. The table lies at a path and can be opened again by later sessions.
 
-Copies are told their keeper by a join on the digest. Groups that hold more
-than 1/``HOT`` of all rows are at most ``HOT`` in number, so this bounded list
-is broadcast; all other groups take the sort-merge join.
+Copies are told their keeper by a join on the digest; the few groups that hold
+a large share of all rows take a bounded broadcast (``common.tell``), all other
+groups the sort-merge join.
 
 Defined cases: null text counts as empty; of equal texts the largest doc_id
 stays (a null doc_id only where there is no other); a text already in the index
@@ -23,9 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, fresh_path, n_parts, text_or_empty
-
-HOT = 1024
+from millrace.llm.common import cut, fresh_path, n_parts, tell, text_or_empty, whole
 
 
 class DigestIndex:
@@ -81,10 +79,7 @@ def dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
         )
         index.append_new(groups)
     verdicts = verdicts.select("digest", "keep_id", "group_size", "new")
-    is_hot = F.col("group_size") * HOT > total
-    told = rows.join(F.broadcast(verdicts.filter(is_hot)), "digest", "left")
-    cold = told.filter(F.col("group_size").isNull()).select("digest", "doc_id")
-    found = told.filter(F.col("group_size").isNotNull()).unionByName(cold.join(verdicts.filter(~is_hot).hint("merge"), "digest"))
+    found = tell(rows, verdicts, ["digest"], "group_size", total)
     return found.select(
         "doc_id", "digest", "keep_id", "group_size", (F.col("new") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept")
     )
@@ -98,11 +93,10 @@ def kept_rows(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
     stay = dedup(docs, index).filter("kept").select("doc_id", "digest").distinct()
     stay = stay.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    keyed = docs.withColumn("_digest", F.unhex(F.sha2(text_or_empty().cast("binary"), 256))).withColumn("_id", F.col("doc_id"))
+    keyed = docs.select(whole(docs).alias("row"), F.unhex(F.sha2(text_or_empty().cast("binary"), 256)).alias("digest"), F.col("doc_id").alias("id"))
     # repeated rows of one document meet in the join's partition, so one is chosen without another shuffle
-    same = keyed["_digest"].eqNullSafe(stay["_digest"]) & keyed["_id"].eqNullSafe(stay["_id"])
-    met = keyed.join(stay, same, "left_semi")
-    return met.dropDuplicates(["_id", "_digest"]).select(*docs.columns)
+    same = keyed["digest"].eqNullSafe(stay["_digest"]) & keyed["id"].eqNullSafe(stay["_id"])
+    return keyed.join(stay, same, "left_semi").dropDuplicates(["id", "digest"]).select("row.*")
 
 
 DEDUP_SQL = """

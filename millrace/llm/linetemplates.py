@@ -17,7 +17,7 @@ numbers at the end.
 Defined cases: null and empty texts have no lines; blank lines are kept and
 belong to no template; rows repeated under one doc_id with one text count once
 and get the same verdict; an empty table gives an empty result; other columns
-stay as they are in ``drop_templates``.
+stay as they are in ``drop_templates``, but for n_lines and n_dropped.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stash, tell, text_or_empty
+from millrace.llm.common import stash, tell, text_or_empty, whole
 
 
 @dataclass(frozen=True)
@@ -91,12 +91,12 @@ def drop_templates(docs: DataFrame, params: TemplateParams | None = None) -> Dat
     """``docs`` with the recurring lines gone from ``text``, and n_lines, n_dropped."""
     gone = line_templates(docs, params).groupBy("_row", "doc_id").agg(F.collect_set("line_no").alias("_gone"))
     gone = gone.select(F.col("_row").alias("_r"), F.col("doc_id").alias("_d"), "_gone")
-    keyed = docs.withColumn("_row", _row_key())
+    keyed = docs.select(whole(docs).alias("row"), _row_key().alias("_row"), "doc_id", "text")
     met = keyed.join(gone, (F.col("_row") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
     split = F.split(text_or_empty(), "\n")
     kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("_gone", i)), "\n")
     return met.select(
-        *[c for c in docs.columns if c != "text"],
+        *[F.col("row")[c].alias(c) for c in docs.columns if c not in ("text", "n_lines", "n_dropped")],
         F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept).alias("text"),
         F.when(text_or_empty() == "", 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),

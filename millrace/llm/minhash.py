@@ -34,11 +34,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stash, tell, text_or_empty
+from millrace.llm.common import stash, tell, text_or_empty, whole
 from millrace.llm.components import components
 from millrace.llm.shingles import mix, shingles, sketches
 
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 @dataclass(frozen=True)
 class NearParams:
     words: int = 4  # in a shingle
@@ -255,7 +258,7 @@ def near_duplicates(docs: DataFrame, params: NearParams | None = None) -> DataFr
     found = found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
     nameless = rows.filter(F.col("doc_id").isNull())
     words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
-    lists = F.split(F.trim(F.regexp_replace(F.lower("text"), r"[\x20\x09-\x0D]+", " ")), " ")
+    lists = F.split(F.trim(F.regexp_replace(F.translate("text", UPPER, UPPER.lower()), r"[\x20\x09-\x0D]+", " ")), " ")
     own = F.array_distinct(F.transform(F.sequence(F.lit(1), words - p.words + 1), lambda i: F.slice(lists, i, p.words)))
     n = F.when(words == 0, 0).when(words < p.words, 1).otherwise(F.size(own)).cast("long")
     nameless = nameless.select("doc_id", n.alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
@@ -265,5 +268,6 @@ def near_duplicates(docs: DataFrame, params: NearParams | None = None) -> DataFr
 def kept_rows(docs: DataFrame, params: NearParams | None = None) -> DataFrame:
     """One row of each group of near duplicates, with its columns."""
     stay = near_duplicates(docs, params).filter(F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct()
-    met = docs.join(stay, docs["doc_id"] == stay["_id"], "left_semi").dropDuplicates(["doc_id"])
-    return met.unionByName(docs.filter(F.col("doc_id").isNull()))
+    keyed = docs.select(whole(docs).alias("row"), F.col("doc_id").alias("id"))
+    met = keyed.join(stay, keyed["id"] == stay["_id"], "left_semi").dropDuplicates(["id"])
+    return met.unionByName(keyed.filter(F.col("id").isNull())).select("row.*")

@@ -196,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = No
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """``docs`` with a column ``score``: the model's probability that the whole text is toxic."""
+    """``docs`` with a column ``score`` (in place of one of that name): the model's probability that the whole text is toxic."""
 
     @F.pandas_udf("double")
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
