@@ -49,7 +49,7 @@ def faithfulness(answer: Column, reply: Column) -> Column:
 def relevancy(reply: Column) -> Column:
     """A judge's score of 0 to 5 as a number of 0 to 1; 0 where there is none."""
     score = F.from_json(json_object(reply), "struct<score:double>")["score"]
-    return F.coalesce(clamp01(F.floor(score) / 5.0), F.lit(0.0))
+    return F.when(score.isNull(), 0.0).otherwise(clamp01(F.floor(score) / 5.0))
 
 
 def report(rows: DataFrame) -> DataFrame:
