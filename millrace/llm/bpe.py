@@ -3,12 +3,12 @@
 1. *Explode.* Each task cuts its texts into pre-tokens, in chunks of documents.
    A chunk keeps, per position, the number of the pre-token in the chunk's own
    list of distinct words; this is the exploded (word, position) relation,
-   stored by column and packed. The lists, dealt by a hash of the word, and the
-   positions, dealt by chunk, leave in one exchange.
+   stored by column and packed. Lists and positions are written once, to a table
+   bucketed by chunk; only the lists are exchanged, by a hash of the word.
 2. *Encode.* A word's hash brings all its lists to one place, where each
    distinct word is encoded once, however many documents hold it.
-3. *Join back.* Lists of ids return to their chunks, and with them the
-   positions; documents are reassembled by position.
+3. *Join back.* Lists of ids return to their chunks, whose positions are read in
+   place; documents are reassembled by position.
 4. *Decode.* Ids are looked up in the token-byte table, whose size is fixed.
 
 A frequent word costs one list entry per chunk, so no key is hot; a task holds
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -34,12 +35,14 @@ import tiktoken
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from millrace.llm.common import n_parts, text_or_empty
+from millrace.llm.common import fresh_path, n_parts, text_or_empty
+from millrace.llm.packing import joined, pack, pack_ids, parted, unpack, unpack_ids
 from millrace.llm.textbytes import pretokens
 
 CHUNK_CHARS = 8 << 20
-POSITIONS, WORDS, IDS = 0, 1, 2
+POSITIONS, WORDS = 0, 1
 PACKED = "chunk long, part int, kind int, payload binary"
 
 
@@ -63,28 +66,6 @@ def token_bytes(path: str) -> list[bytes]:
     return out
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Whole numbers by byte plane (alike bytes together), compressed."""
-    out = []
-    for a in arrays:
-        width = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
-        planes = [((a >> (8 * i)) & 255).astype(np.uint8).tobytes() for i in range(width)]
-        body = zstandard.compress(b"".join(planes), 3)
-        out.append(len(a).to_bytes(8, "little") + bytes([width]) + len(body).to_bytes(8, "little") + body)
-    return b"".join(out)
-
-
-def unpack(data: bytes) -> list[np.ndarray]:
-    """The arrays in ``data``."""
-    out, at = [], 0
-    while at < len(data):
-        n, width, size = int.from_bytes(data[at : at + 8], "little"), data[at + 8], int.from_bytes(data[at + 9 : at + 17], "little")
-        planes = np.frombuffer(zstandard.decompress(data[at + 17 : at + 17 + size]), np.uint8).reshape(width, n).astype(np.int64)
-        out.append(sum((planes[i] << (8 * i) for i in range(width)), np.zeros(n, np.int64)))
-        at += 17 + size
-    return out
-
-
 def _chunk(number: int, ids: list, texts: list[str], pattern: str, parts: int) -> Iterator[tuple]:
     index: defaultdict[str, int] = defaultdict()
     index.default_factory = index.__len__
@@ -99,15 +80,12 @@ def _chunk(number: int, ids: list, texts: list[str], pattern: str, parts: int) -
     rank[order] = np.arange(len(words))
     coded = [words[i].encode("utf-8", "surrogatepass") for i in order]
     part = np.fromiter((zlib.crc32(w) % parts for w in coded), np.int64, len(coded))
-    present = np.array([i is not None and i == i for i in ids], dtype=np.int64)
-    signed = np.array([int(i) if p else 0 for i, p in zip(ids, present, strict=True)], dtype=np.int64)
-    packed = pack(present, (signed < 0).astype(np.int64), np.abs(signed), np.array(lengths, np.int64), part, rank[at] if len(at) else at)
-    yield number, -1 - number % 2_000_000_000, POSITIONS, packed
+    yield number, 0, POSITIONS, joined(pack_ids(ids), pack(np.array(lengths, np.int64), part, rank[at] if len(at) else at))
     by_part = np.argsort(part, kind="stable")
     for group in np.split(by_part, np.flatnonzero(np.diff(part[by_part])) + 1) if len(by_part) else ():
         own = [coded[i] for i in group]
         sizes = pack(np.array([len(w) for w in own], np.int64))
-        yield number, int(part[group[0]]), WORDS, len(sizes).to_bytes(8, "little") + sizes + zstandard.compress(b"".join(own), 3)
+        yield number, int(part[group[0]]), WORDS, joined(sizes, zstandard.compress(b"".join(own), 3))
 
 
 def _explode(pattern: str, parts: int):
@@ -134,13 +112,10 @@ def _encode(path: str, pattern: str):
         known: dict[bytes, list[int]] = {}
         for b in batches:
             out = []
-            for chunk, part, kind, payload in zip(b["chunk"], b["part"], b["kind"], b["payload"], strict=True):
-                if kind == POSITIONS:
-                    out.append((chunk, part, kind, payload))
-                    continue
-                head = int.from_bytes(payload[:8], "little")
-                (sizes,) = unpack(payload[8 : 8 + head])
-                body, at, found = zstandard.decompress(payload[8 + head :]), 0, []
+            for chunk, part, payload in zip(b["chunk"], b["part"], b["payload"], strict=True):
+                sizes, packed = parted(payload)
+                (sizes,) = unpack(sizes)
+                body, at, found = zstandard.decompress(packed), 0, []
                 for n in sizes.tolist():
                     word = body[at : at + n]
                     at += n
@@ -149,18 +124,18 @@ def _encode(path: str, pattern: str):
                         ids = known[word] = enc.encode_ordinary(word.decode("utf-8", "surrogatepass"))
                     found.append(ids)
                 flat = np.array([i for ids in found for i in ids], np.int64)
-                out.append((chunk, part, IDS, pack(np.array([len(ids) for ids in found], np.int64), flat)))
-            yield pd.DataFrame(out, columns=["chunk", "part", "kind", "payload"])
+                out.append((chunk, part, pack(np.array([len(ids) for ids in found], np.int64), flat)))
+            yield pd.DataFrame(out, columns=["chunk", "part", "payload"])
 
     return run
 
 
 def _reassemble(path: str, digest: bool):
-    def run(rows_in: pd.DataFrame) -> pd.DataFrame:
+    def run(places: pd.DataFrame, coded: pd.DataFrame) -> pd.DataFrame:
         table = token_bytes(path)
-        places, coded = rows_in[rows_in["kind"] == POSITIONS], rows_in[rows_in["kind"] == IDS]
-        present, negative, doc_ids, lengths, part, at = unpack(places["payload"].iloc[0])
-        doc_ids = np.where(negative == 1, -doc_ids, doc_ids)
+        ids, numbers = parted(places["payload"].iloc[0])
+        doc_ids = unpack_ids(ids)
+        lengths, part, at = unpack(numbers)
         words: list[list[int]] = [[]] * len(part)
         for p, payload in zip(coded["part"], coded["payload"], strict=True):
             sizes, flat = unpack(payload)
@@ -171,11 +146,11 @@ def _reassemble(path: str, digest: bool):
         shown = [" ".join(map(str, w)) for w in words] if digest else []
         raw = [b"".join([table[i] for i in w]) for w in words]
         rows, lo = [], 0
-        for doc, there, n in zip(doc_ids.tolist(), present.tolist(), lengths.tolist(), strict=True):
+        for doc, n in zip(doc_ids, lengths.tolist(), strict=True):
             mine = at[lo : lo + n].tolist()
             lo += n
             decoded = b"".join(map(raw.__getitem__, mine))
-            row = [doc if there else None, int(size[mine].sum()) if mine else 0]
+            row = [doc, int(size[mine].sum()) if mine else 0]
             if digest:
                 ids = hashlib.sha256(" ".join(map(shown.__getitem__, mine)).encode()).hexdigest()
                 rows.append((*row, ids, hashlib.sha256(decoded).hexdigest()))
@@ -196,7 +171,13 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, digest: bool =
     """
     parts = n_parts(docs.sparkSession)
     rows = docs.select("doc_id", text_or_empty().alias("text"))
-    packed = rows.mapInPandas(_explode(pattern, 4 * parts), PACKED).repartition(parts, "part")
-    coded = packed.mapInPandas(_encode(vocabulary, pattern), PACKED)
+    name = f"positions_{uuid.uuid4().hex}"
+    packed = rows.mapInPandas(_explode(pattern, 4 * parts), PACKED)
+    table = packed.write.partitionBy("kind").bucketBy(parts, "chunk").option("path", fresh_path(docs.sparkSession, "positions"))
+    table.format("parquet").saveAsTable(name)
+    packed = docs.sparkSession.table(name)
+    words = packed.filter(F.col("kind") == WORDS).select("chunk", "part", "payload").repartition(parts, "part")
+    coded = words.mapInPandas(_encode(vocabulary, pattern), "chunk long, part int, payload binary")
+    places = packed.filter(F.col("kind") == POSITIONS).select("chunk", "payload")
     schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded binary")
-    return coded.groupBy("chunk").applyInPandas(_reassemble(vocabulary, digest), schema)
+    return places.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInPandas(_reassemble(vocabulary, digest), schema)
