@@ -15,8 +15,15 @@ from millrace.registry import table
 SETTINGS = Settings()
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores where a table is one small file; large tables come in more splits than that and stay as read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "source", F.coalesce("text", F.lit("")).alias("text"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "source", F.coalesce("text", F.lit("")).alias("text"))
+    return _spread(docs)
 
 
 def _queries(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,7 +62,7 @@ def hard_split_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("doc_ord"), "source", "text")
-    return chunking.build_chunks(docs, SETTINGS.max_tokens, SETTINGS.overlap)
+    return chunking.build_chunks(_spread(docs), SETTINGS.max_tokens, SETTINGS.overlap)
 
 
 def recursive_chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,7 +70,7 @@ def recursive_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunk_stats(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = _spread(table(spark, sf, "documents").select("source", "text"))
     pieces = docs.select("source", F.explode(chunking.chunk_text(F.col("text"), SETTINGS.max_tokens, SETTINGS.overlap)).alias("text"))
     n = T.count_tokens(F.col("text"))
     return pieces.groupBy("source").agg(F.count("*").alias("n_chunks"), F.sum(n).alias("n_tokens"), F.max(n).alias("largest"))
