@@ -23,6 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()  # a > b, or a loop
     e = stash(e, "edges")
+    loops = e.filter("a = b").select(F.col("a").alias("node"))
     before = None
     while True:
         both = _both(e.filter("a <> b"))
@@ -37,7 +38,6 @@ def components(edges: DataFrame) -> DataFrame:
         before, e = tuple(now), after
     star = e.filter("a <> b").select(F.col("a").alias("node"), F.col("b").alias("root"))
     centres = star.select(F.col("root").alias("node"), "root").distinct()
-    loops = edges.filter("a = b").select(F.col("a").alias("node")).distinct()
     found = star.unionByName(centres)
     alone = loops.join(found, "node", "left_anti").select("node", F.col("node").alias("root"))
     return found.unionByName(alone)

@@ -238,13 +238,14 @@ def near_duplicates(docs: DataFrame, params: NearParams | None = None) -> DataFr
     shared = keys.groupBy("key").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).filter("x <> y").select("key")
     buckets = stash(keys.join(shared, "key").select("key", "rep", F.pmod("key", F.lit(64)).cast("int").alias("band")), "buckets")
     reps = buckets.select("rep").distinct()
-    sketch = stash(full.select(F.col("doc_id").alias("rep"), "sketch").join(reps, "rep").dropDuplicates(["rep", "sketch"]), "reps")
+    sketch = stash(full.select(F.col("doc_id").alias("rep"), "sketch").join(reps.hint("merge"), "rep").dropDuplicates(["rep", "sketch"]), "reps")
     clusters = _clusters(buckets, sketch, p)
 
     sizes = clusters.groupBy("root").agg(F.count("*").alias("size")).filter("size > 1")
     members = clusters.join(sizes, "root").select(F.col("node").alias("rep"), F.col("root").alias("cluster"), F.ceil(F.col("size") / p.block).cast("int").alias("blocks"))
     members = members.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    texts = known.withColumnRenamed("doc_id", "rep").join(members, "rep")
+    # both sides grow with the table, so texts are always exchanged and never the list sent around
+    texts = known.withColumnRenamed("doc_id", "rep").join(members.hint("merge"), "rep")
     spread = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("cluster", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "rep", "text")
     tasks = spread.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
