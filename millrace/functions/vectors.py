@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -53,3 +53,18 @@ def hashed_embedding(tokens: Column, dim: int = 64) -> Column:
             yield pd.Series(rows)
 
     return embed(tokens)
+
+
+def provider_embedding(embed: Callable[[list[str]], list[list[float]]], batch: int = 32) -> Callable[[Column], Column]:
+    """A column function that sends texts to a provider in batches; blank texts go as one space, vectors come scaled to length 1."""
+
+    @F.pandas_udf("array<double>")
+    def embedded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            texts = [t if t and t.strip() else " " for t in s]
+            found = [v for lo in range(0, len(texts), batch) for v in embed(texts[lo : lo + batch])]
+            m = np.array(found, dtype=float).reshape(len(texts), -1)
+            size = np.sqrt((m**2).sum(axis=1, keepdims=True))
+            yield pd.Series(list(np.divide(m, size, out=np.zeros_like(m), where=size > 0)))
+
+    return lambda text: embedded(text)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.config import Settings
@@ -35,6 +36,9 @@ def rrf(vector_hits: DataFrame, bm25_hits: DataFrame, k: int = 60) -> DataFrame:
     return fused.withColumn("fused_rank", (F.row_number().over(order) - 1).cast("long")).drop("vector_rank", "bm25_rank")
 
 
+Embed = Callable[[Column], Column]
+
+
 @dataclass
 class HybridIndex:
     """chunks: chunk_id, source, text. vectors: chunk_id, embedding. lexical: BM25 statistics."""
@@ -43,19 +47,23 @@ class HybridIndex:
     vectors: DataFrame
     lexical: bm25.Bm25Index
     dim: int = 64
+    embed: Embed | None = None
 
 
-def index_chunks(chunks: DataFrame, dim: int = 64) -> HybridIndex:
-    """Index chunks (chunk_id, source, text) with the offline embedding."""
+def index_chunks(chunks: DataFrame, dim: int = 64, embed: Embed | None = None) -> HybridIndex:
+    """Index chunks (chunk_id, source, text) with ``embed`` (text column to vector column), or with the offline embedding."""
     tokens = chunks.select("chunk_id", tokenize(F.col("text")).alias("tokens"))
-    vectors = tokens.select("chunk_id", hashed_embedding(F.col("tokens"), dim).alias("embedding"))
-    return HybridIndex(chunks.select("chunk_id", "source", "text"), vectors, bm25.build(tokens), dim)
+    if embed is None:
+        vectors = tokens.select("chunk_id", hashed_embedding(F.col("tokens"), dim).alias("embedding"))
+    else:
+        vectors = chunks.select("chunk_id", embed(F.col("text")).alias("embedding"))
+    return HybridIndex(chunks.select("chunk_id", "source", "text"), vectors, bm25.build(tokens), dim, embed)
 
 
-def embed_queries(queries: DataFrame, dim: int = 64) -> DataFrame:
-    """query_id, text, tokens, embedding of queries (query_id, text)."""
+def embed_queries(queries: DataFrame, dim: int = 64, embed: Embed | None = None) -> DataFrame:
+    """query_id, text, tokens, embedding of queries (query_id, text); with the index's ``dim`` and ``embed``."""
     tokens = queries.select("query_id", "text", tokenize(F.col("text")).alias("tokens"))
-    return tokens.withColumn("embedding", hashed_embedding(F.col("tokens"), dim))
+    return tokens.withColumn("embedding", hashed_embedding(F.col("tokens"), dim) if embed is None else embed(F.col("text")))
 
 
 def candidates(index: HybridIndex, queries: DataFrame, settings: Settings, top_k: int | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from millrace.config import Settings
 from millrace.operators.bm25 import Bm25Index
 from millrace.operators.chunking import build_chunks
 from millrace.operators.dense import DimensionError
-from millrace.operators.fusion import HybridIndex, index_chunks
+from millrace.operators.fusion import Embed, HybridIndex, index_chunks
 from millrace.sources.documents import load_documents
 
 VERSION = 1
@@ -35,8 +35,8 @@ def save(index: HybridIndex, chunks: DataFrame, folder: str, settings: Settings
     return {"n_chunks": n, "dim": index.dim, "index_dir": folder}
 
 
-def load(spark: SparkSession, folder: str, settings: Settings | None = None) -> HybridIndex:
-    """Open an index; vectors of another length than the metadata says are an error."""
+def load(spark: SparkSession, folder: str, embed: Embed | None = None) -> HybridIndex:
+    """Open an index; vectors of another length than the metadata says are an error. ``embed`` is what it was made with."""
     read = {name: spark.read.parquet(f"{folder}/{name}") for name in ("chunks", "vectors", *PARTS)}
     bounds = read["vectors"].agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
     try:
@@ -46,7 +46,7 @@ def load(spark: SparkSession, folder: str, settings: Settings | None = None) ->
     dim = meta["embed_dim"] if meta else bounds[1]
     if bounds[0] is not None and (bounds[0] != dim or bounds[1] != dim):
         raise DimensionError(f"metadata says {dim} dimensions, vectors have {bounds[0]} to {bounds[1]}")
-    return HybridIndex(read["chunks"].select("chunk_id", "source", "text"), read["vectors"], Bm25Index(*(read[p] for p in PARTS)), dim)
+    return HybridIndex(read["chunks"].select("chunk_id", "source", "text"), read["vectors"], Bm25Index(*(read[p] for p in PARTS)), dim, embed)
 
 
 def inspect(spark: SparkSession, folder: str) -> DataFrame:
@@ -54,7 +54,7 @@ def inspect(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/chunks").groupBy("source").agg(F.count("*").alias("chunks")).orderBy(F.desc("chunks"), "source")
 
 
-def ingest(spark: SparkSession, docs_dir: str, index_dir: str, settings: Settings | None = None) -> dict:
+def ingest(spark: SparkSession, docs_dir: str, index_dir: str, settings: Settings | None = None, embed: Embed | None = None) -> dict:
     """Files to a saved index."""
     s = settings or Settings()
     docs = load_documents(spark, docs_dir)
@@ -63,4 +63,4 @@ def ingest(spark: SparkSession, docs_dir: str, index_dir: str, settings: Setting
     chunks = build_chunks(docs, s.max_tokens, s.overlap)
     chunks.write.mode("overwrite").parquet(f"{index_dir}/staged")
     chunks = spark.read.parquet(f"{index_dir}/staged")
-    return save(index_chunks(chunks, s.embed_dim), chunks, index_dir, s)
+    return save(index_chunks(chunks, s.embed_dim, embed), chunks, index_dir, s)

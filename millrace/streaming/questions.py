@@ -16,7 +16,7 @@ def answer_stream(spark: SparkSession, questions_dir: str, index: HybridIndex, o
     questions = spark.readStream.schema("query_id long, text string").json(questions_dir)
 
     def write(batch: DataFrame, number: int) -> None:
-        hits = retrieve(index, embed_queries(batch, index.dim), settings)
+        hits = retrieve(index, embed_queries(batch, index.dim, index.embed), settings)
         hits.write.mode("overwrite").parquet(f"{out_dir}/batch={number}")
 
     return questions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()

@@ -153,3 +153,18 @@ def test_question_stream(spark, index, tmp_path):
     hits = spark.read.parquet(str(tmp_path / "out"))
     assert {r["query_id"] for r in hits.collect()} == {5}
     assert hits.filter("rank = 0").first()["chunk_id"] == 4
+
+
+def test_provider_embedding(spark, chunks):
+    from millrace.functions.vectors import provider_embedding
+
+    def lengths(texts):
+        assert len(texts) <= 2
+        return [[float(len(t)), 1.0] for t in texts]
+
+    embed = provider_embedding(lengths, 2)
+    index = fusion.index_chunks(chunks, 2, embed)
+    queries = fusion.embed_queries(spark.createDataFrame([(0, "  "), (1, "x" * 26)], "query_id long, text string"), 2, embed)
+    got = {r["query_id"]: r["chunk_id"] for r in dense.search(index.vectors, queries, 1).collect()}
+    sizes = [len(t) for _, _, t in CORPUS]
+    assert got[0] == int(np.argmin(sizes))
