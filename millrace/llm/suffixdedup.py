@@ -436,15 +436,18 @@ def _removed(p: SuffixParams, digest: bool):
         rows = []
         for payload in texts["payload"]:
             ids, lengths, _, _, a, data = _opened(payload)
-            cover = np.zeros(len(data) + p.length + 1, np.int32)
+            starts = [np.empty(0, np.int64)]
             for x in marks["payload"]:
                 numbers, bits = parted(x)
                 number, shift = unpack(numbers)
                 got = np.unpackbits(np.frombuffer(zstandard.decompress(bits), np.uint8).reshape(len(number), -1), axis=1, count=side + 1)
                 i, o = np.nonzero(got)
-                start = a[number[i]] - shift[i] - o
-                cover += np.bincount(start, minlength=len(cover)) - np.bincount(start + p.length, minlength=len(cover))
-            gone = np.cumsum(cover[: len(data)]) > 0
+                starts.append((a[number[i]] - shift[i] - o).astype(np.uint32 if len(data) < 1 << 32 else np.int64))
+            cover = np.zeros(len(data) + p.length, np.int8)
+            cover[np.concatenate(starts).astype(np.int64)] = 1  # a window start, once
+            cover[p.length :] -= cover[: len(data)].copy()
+            del starts
+            gone = np.cumsum(cover[: len(data)], dtype=np.int32) > 0
             lo = 0
             for i, n in zip(ids, lengths.tolist(), strict=True):
                 own, mine = data[lo : lo + n], gone[lo : lo + n]
