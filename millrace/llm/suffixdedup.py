@@ -79,6 +79,14 @@ def _kgrams(data: np.ndarray, k: int) -> np.ndarray:
     return mix(total)
 
 
+def _kgrams_at(data: np.ndarray, places: np.ndarray, k: int) -> np.ndarray:
+    """The same hash at some places only."""
+    total = np.zeros(len(places), np.uint64)
+    for j in range(k):
+        total = total * np.uint64(_BASE) + _VALUE[data[places + j]]
+    return mix(total)
+
+
 def anchors(data: np.ndarray, lengths: np.ndarray, p: SuffixParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First and last window start, place and k-gram hash of every anchor; ``data`` holds texts one after another."""
     out: list[tuple[np.ndarray, ...]] = []
@@ -153,7 +161,7 @@ def _hashes(p: SuffixParams, parts: int):
                 _, _, _, _, a, data = _opened(payload)
                 if not len(a):
                     continue
-                f = _kgrams(data, p.kgram)[a]
+                f = _kgrams_at(data, a, p.kgram)
                 order = np.argsort(f)
                 f = f[order]
                 part = (f >> np.uint64(40)).astype(np.int64) * parts >> 24
@@ -225,7 +233,7 @@ def _runs(p: SuffixParams, parts: int):
         cold = idx[hot == 0]
         # an item: place of the suffix, bytes before it, bytes from it, number to report, bytes from the item's window to that anchor
         place, left, right, number, shift = a[cold], (a - s)[cold], p.length - (a - e)[cold], cold, np.zeros(len(cold), np.int64)
-        dealt = _kgrams(data, p.kgram)[place]
+        dealt = _kgrams_at(data, place, p.kgram)
         if (hot == 1).any():
             warm = np.sort(idx[hot == 1])
             n = (e - s)[warm] + 1
@@ -234,7 +242,7 @@ def _runs(p: SuffixParams, parts: int):
             place, left = np.append(place, start), np.append(left, np.zeros(len(each), np.int64))
             right, number = np.append(right, np.full(len(each), p.length)), np.append(number, each)
             shift = np.append(shift, a[each] - start)
-            dealt = np.append(dealt, _kgrams(data, p.length)[start])
+            dealt = np.append(dealt, _kgrams_at(data, start, p.length))
         bounds = np.cumsum(lengths)
         doc = np.searchsorted(bounds, place, side="right")
         begin = bounds - lengths
