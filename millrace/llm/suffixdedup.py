@@ -346,12 +346,11 @@ def _marks(lcp: np.ndarray, left: np.ndarray, right: np.ndarray, before: np.ndar
     n, side = len(lcp), p.length - p.kgram
     marks = np.zeros((n, side + 1), bool)
     low = p.length - right  # o goes from low to left
-    h, after = np.zeros(n, np.uint64), [np.zeros(n, np.uint64)]
+    h, own = np.zeros(n, np.uint64), np.zeros(n, np.uint64)  # own: hash of all bytes before that count
     for o in range(1, side + 1):
         h = h * np.uint64(_BASE) + _VALUE[before[:, o - 1]]
-        after.append(h)
-    all_before = np.stack(after)  # hash of the o bytes before, by o
-    own = mix(all_before[left, np.arange(n)])
+        own[left == o] = h[left == o]
+    own = mix(own)
 
     def earlier(items: np.ndarray, run: np.ndarray, key: np.ndarray, o: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
         """Of items with equal run and key all but the first, and that first; bytes before are compared in full."""
@@ -382,10 +381,15 @@ def _marks(lcp: np.ndarray, left: np.ndarray, right: np.ndarray, before: np.ndar
     group = np.cumsum(lcp < p.kgram)
     alone = np.bincount(group, weights=rest, minlength=int(group[-1]) + 1 if n else 1) < 2
     rest &= ~alone[group]
+    rest = np.flatnonzero(rest)
+    h = np.zeros(len(rest), np.uint64)
     for o in range(side + 1):
-        items = np.flatnonzero(rest & (low <= o) & (o <= left))
+        if o:
+            h = h * np.uint64(_BASE) + _VALUE[before[rest, o - 1]]
+        here = (low[rest] <= o) & (o <= left[rest])
+        items = rest[here]
         if len(items) > 1:
-            again, _ = earlier(items, np.cumsum(lcp < p.length - o)[items], all_before[o, items], o)
+            again, _ = earlier(items, np.cumsum(lcp < p.length - o)[items], h[here], o)
             marks[again, o] = True
     return marks
 
