@@ -5,7 +5,10 @@ tokens, tokens with digits being variable from the start. In a leaf, a token at
 a position is constant if the leaf has it there ``least`` times, otherwise the
 position is a variable field; what a line's tokens become is its template. A
 template of at least ``share`` constants that at least ``least`` documents hold
-recurs, and its lines are dropped.
+recurs, and its lines are dropped. As ``TEMPLATES_SQL`` has it, ``least`` is a
+fixed count, so the values of a field become constants once each stands often
+enough; with ``constant_share`` a constant also needs that share of its leaf's
+lines, which makes a field one at every size.
 
 Plan: DataFrame functions only. Leaves that are too small are found on hashes
 before any line is moved; lines of the others meet their leaf in a sort-merge
@@ -35,6 +38,7 @@ class TemplateParams:
     leading: int = 3  # tokens that the tree looks at, below the number of tokens
     least: int = 10
     share: float = 0.5
+    constant_share: float = 0.0  # of a leaf's lines; 0: the rule of TEMPLATES_SQL
 
 
 VARIABLE = "<*>"
@@ -71,7 +75,10 @@ def line_templates(docs: DataFrame, params: TemplateParams | None = None) -> Dat
     distinct = stash(within.groupBy("leaf", "own", "line").agg(F.count("*").alias("n")), "lines")
     tokens = distinct.select("leaf", "own", "n", F.posexplode(F.split(_masked(F.col("line")), " ", -1)).alias("pos", "token"))
     common = tokens.filter(F.col("token") != VARIABLE).groupBy("leaf", "pos", "token").agg(F.sum("n").alias("_n"))
-    common = common.filter(F.col("_n") >= p.least).select("leaf", "pos", "token", F.lit(1).alias("constant"))
+    common = common.filter(F.col("_n") >= p.least)
+    if p.constant_share:
+        common = common.join(leaves.withColumnRenamed("_n", "_all"), "leaf").filter(F.col("_n") >= F.col("_all") * p.constant_share)
+    common = common.select("leaf", "pos", "token", F.lit(1).alias("constant"))
     parsed = tokens.join(common, ["leaf", "pos", "token"], "left")
     field = F.when(F.col("constant") == 1, F.col("token")).otherwise(VARIABLE)
     parsed = parsed.groupBy("leaf", "own").agg(

@@ -168,6 +168,20 @@ def test_line_templates(spark, none):
     assert linetemplates.drop_templates(none).count() == 0
 
 
+@pytest.mark.parametrize("n", [300, 1200])
+def test_fields_whose_values_recur_stay_fields(spark, n):
+    name = ["".join(chr(97 + (k * m) % 26) for m in (1, 3, 7)) + "xyz"[k % 3] for k in range(60)]
+    pairs = random.Random(3).sample([(x, y) for x in range(60) for y in range(60)], n)
+    data = [(i, f"book cheap flights from {name[x]} to {name[y]} with us today") for i, (x, y) in enumerate(pairs)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    if n > 600:
+        words = Counter(x for x, _ in pairs)
+        assert sum(c > 10 for c in words.values()) > 50
+        assert linetemplates.drop_templates(docs).filter("n_dropped > 0").count() < n / 10  # the rule of TEMPLATES_SQL
+    params = linetemplates.TemplateParams(constant_share=0.1)
+    assert linetemplates.drop_templates(docs, params).filter("n_dropped = 1").count() == n
+
+
 def test_exact_dedup(spark, docs, none):
     got = table(digestindex.dedup(docs, digestindex.new_index(spark)), "doc_id", "keep_id", "group_size", "kept")
     groups = defaultdict(list)
