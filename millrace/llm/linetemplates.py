@@ -8,7 +8,8 @@ template of at least ``share`` constants that at least ``least`` documents hold
 recurs, and its lines are dropped. As ``TEMPLATES_SQL`` has it, ``least`` is a
 fixed count, so the values of a field become constants once each stands often
 enough; with ``constant_share`` a constant also needs that share of its leaf's
-lines, which makes a field one at every size.
+lines, which makes a field one at every size. With ``copies`` a line that so
+many documents hold word for word goes as well, whatever its leaf.
 
 Plan: DataFrame functions only. Leaves that are too small are found on hashes
 before any line is moved; lines of the others meet their leaf in a sort-merge
@@ -39,6 +40,7 @@ class TemplateParams:
     least: int = 10
     share: float = 0.5
     constant_share: float = 0.0  # of a leaf's lines; 0: the rule of TEMPLATES_SQL
+    copies: int = 0  # documents that hold a line word for word; 0: the rule of TEMPLATES_SQL
 
 
 VARIABLE = "<*>"
@@ -91,7 +93,17 @@ def line_templates(docs: DataFrame, params: TemplateParams | None = None) -> Dat
     met = stash(met.select("_row", "doc_id", "line_no", "template"), "met")
     held = met.groupBy("template").agg(F.count("*").alias("n"), F.countDistinct("_row").alias("docs")).filter(F.col("docs") >= p.least)
     held = stash(held.select("template", "n"), "recurring")
-    return tell(met, held, ["template"], "n", met.count()).select("_row", "doc_id", "line_no", "template")
+    found = tell(met, held, ["template"], "n", met.count()).select("_row", "doc_id", "line_no", "template")
+    return found.unionByName(_copied(lines, p)).dropDuplicates(["_row", "doc_id", "line_no"]) if p.copies else found
+
+
+def _copied(lines: DataFrame, p: TemplateParams) -> DataFrame:
+    """_row, doc_id, line_no, template (the line) of every line that enough documents hold word for word."""
+    key = ["leaf", "own"]
+    held = lines.groupBy(*key).agg(F.count("*").alias("n"), F.countDistinct("_row").alias("docs")).filter(F.col("docs") >= p.copies)
+    held = stash(held.select(*key, "n"), "copied")
+    met = tell(lines.select("_row", "doc_id", "line_no", F.col("line").alias("template"), *key), held, key, "n", lines.count())
+    return met.select("_row", "doc_id", "line_no", "template")
 
 
 def drop_templates(docs: DataFrame, params: TemplateParams | None = None) -> DataFrame:

@@ -182,6 +182,16 @@ def test_fields_whose_values_recur_stay_fields(spark, n):
     assert linetemplates.drop_templates(docs, params).filter("n_dropped = 1").count() == n
 
 
+def test_lines_copied_in_a_few_documents_go(spark):
+    long = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    data = [(1, f"mine\n{long}\n1 2 3"), (2, f"{long}\nyours\n1 2 3"), (3, "twice here\ntwice here"), (4, "other"), (4, "other"), (5, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    assert linetemplates.drop_templates(docs).filter("n_dropped > 0").count() == 0  # the rule of TEMPLATES_SQL
+    got = linetemplates.drop_templates(docs, linetemplates.TemplateParams(copies=2))
+    want = {(1, "mine", 2): 1, (2, "yours", 2): 1, (3, "twice here\ntwice here", 0): 1, (4, "other", 0): 2, (5, None, 0): 1}
+    assert table(got, "doc_id", "text", "n_dropped") == want
+
+
 def test_exact_dedup(spark, docs, none):
     got = table(digestindex.dedup(docs, digestindex.new_index(spark)), "doc_id", "keep_id", "group_size", "kept")
     groups = defaultdict(list)
