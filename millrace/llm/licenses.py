@@ -7,9 +7,10 @@ find is resolved by interval containment: a detection that lies inside one of
 the same or a higher priority is dropped. Beside the rules, three base phrases
 are counted word by word; their labels always stay.
 
-Plan: one scan, no shuffle, DataFrame functions only. Four substring tests gate
-the work per document (every rule requires one of them), keywords gate it per
-rule, so the regexes run on few texts.
+Plan: one scan, no shuffle, DataFrame functions only. Substring tests gate the
+work per document (every rule requires one of them), keywords gate it per rule,
+so the regexes run on few texts. A rule's keywords are substrings of whatever
+its regex matches, so gates change no result.
 
 Defined cases: null and empty texts have no words, null first and last word,
 empty labels and score 0; texts are scanned whole; other columns are ignored;
@@ -86,12 +87,12 @@ FAMILIES = [
 #: Form, keyword, priority, regex over the name N, the version V and the label's words W.
 FORMS = [
     ("identifier", " spdx ", 100, "spdx licen[sc]e identifier {W}"),
-    ("grant", " licen", 90, "(?:licensed|released|distributed|available|provided|published)(?: [^ ]+){0,3}? under(?: [^ ]+){0,4}? {N}(?: licen[sc]e)?(?:(?: version)? {V})"),
+    ("grant", " under ", 90, "(?:licensed|released|distributed|available|provided|published)(?: [^ ]+){0,3}? under(?: [^ ]+){0,4}? {N}(?: licen[sc]e)?(?:(?: version)? {V})"),
     ("title", " licen", 80, "{N} licen[sc]e(?:(?: version)? {V})"),
     ("link", " licenses ", 70, "licenses {W}"),
-    ("version", " licen", 60, "{N}(?: version| v)? {V}"),
+    ("version", "", 60, "{N}(?: version| v)? {V}"),
 ]
-GATE = (" licen", " spdx ", " cc by ", " all rights reserved ")
+GATE = (" all rights reserved ", " spdx ", " licenses ", *dict.fromkeys(keyword for _, keyword, _, _ in FAMILIES))
 PRIORITIES = sorted({p for _, _, p, _ in FORMS})
 
 
@@ -102,10 +103,10 @@ def rules() -> list[dict]:
         words = label.replace("-", " ").replace(".", " ")
         for form, gate, priority, shape in FORMS:
             if form == "version" and not version:
-                shape = "(?:dual |multi )licensed {N}"
+                gate, shape = " licensed ", "(?:dual |multi )licensed {N}"
             shape = shape.replace("(?:(?: version)? {V})", "(?: version)? {V}" if version else "")
             body = shape.replace("{N}", name).replace("{V}", version).replace("{W}", words)
-            keywords = [gate] if form in ("identifier", "link") else [gate, keyword]
+            keywords = [gate] if form in ("identifier", "link") else [keyword, gate] if gate else [keyword]
             out.append(
                 {
                     "id": len(out), "label": label, "keywords": keywords, "regex": f"(?<= ){body}(?= )",

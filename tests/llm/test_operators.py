@@ -255,6 +255,41 @@ def test_license_rules(spark):
     assert all(any(g.strip() in k for k in r["keywords"] for g in licenses.GATE) for r in licenses.rules())
 
 
+def samples(regex: str) -> list[str]:
+    """Texts that a rule's regex matches: with and without what is optional, by each first and last alternative."""
+    body = regex.removeprefix("(?<= )").removesuffix("(?= )").replace("(?: [^ ]+){0,3}?", " one two three").replace("(?: [^ ]+){0,4}?", " a b c d").replace("[sc]", "s")
+    out = set()
+    for keep in (True, False):
+        for at in (0, -1):
+            x, old = body, None
+            while x != old:
+                old = x
+                x = re.sub(r"\(\?:([^()]*)\)(\??)", lambda m: "" if m[2] and not keep else m[1].split("|")[at], x, count=1)
+            out.add(x)
+    return sorted(out)
+
+
+def test_gates_change_no_result(spark, monkeypatch):
+    texts = ["This work is released under CC BY 4.0", "distributed under Mozilla Public 2.0", "available under the Apache 2.0 terms", "released under CC0 1.0"]
+    for r in licenses.rules():
+        for x in samples(r["regex"]):
+            assert re.search(r["regex"], f" {x} ")
+            texts.append(x)
+    data = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keys = ("doc_id", "labels", "score", "detections")
+
+    def scanned() -> Counter:
+        return table(licenses.scan(data).withColumn("detections", F.to_json("detections")), *keys)
+
+    got = scanned()
+    labels = {k[0]: k[1] for k in got}
+    assert [labels[i] for i in range(4)] == ["cc-by,cc-by-4.0", "mpl-2.0", "apache-2.0", "cc0-1.0"]
+    ungated = [r | {"keywords": []} for r in licenses.rules()]
+    monkeypatch.setattr(licenses, "rules", lambda: ungated)
+    monkeypatch.setattr(licenses, "GATE", ("",))
+    assert got == scanned()
+
+
 def test_bpe_round_trip(docs, none):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encode = bpe.encoding(path, public_tokenizers.PATTERN).encode_ordinary
