@@ -2,7 +2,8 @@
 
 A text becomes its lower-case words joined by single spaces. A rule is a regex
 over that string with a label, a priority and the keywords a text must hold for
-the rule to be tried. Rules come from ``FAMILIES`` x ``FORMS``. What the rules
+the rule to be tried. Rules come from ``FAMILIES`` x ``FORMS``, which look for a
+licence's name, and from ``SIGNATURES``, sentences of the licence itself. What they
 find is resolved by interval containment: a detection that lies inside one of
 the same or a higher priority is dropped. Beside the rules, three base phrases
 are counted word by word; their labels always stay.
@@ -92,8 +93,50 @@ FORMS = [
     ("link", " licenses ", 70, "licenses {W}"),
     ("version", "", 60, "{N}(?: version| v)? {V}"),
 ]
-GATE = (" all rights reserved ", " spdx ", " licenses ", *dict.fromkeys(keyword for _, keyword, _, _ in FAMILIES))
-PRIORITIES = sorted({p for _, _, p, _ in FORMS})
+_MIT = "permission is hereby granted free of charge to any person obtaining a copy of this software"
+_MIT_FILES = f"{_MIT} and associated documentation files(?: the software)? to deal"
+_ISC = "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"
+_BSD = "redistribution and use in source and binary forms(?: with or without modification)? are permitted"
+_FREE = "is free software you can redistribute it and or modify it under the terms of(?: version [^ ]+ of)? the gnu"
+_FSF = "as published by the free software foundation(?: either)? version"
+_GAP = "(?: [^ ]+){0,250}?"
+#: Wordings of bodies and notices, without the licence's name: label, keyword, regex. Of two over the same words the longer one
+#: holds, and of two as long the one that comes first.
+SIGNATURES = [
+    ("mit", "granted free of charge", _MIT),
+    ("mit-0", "granted free of charge", f"{_MIT_FILES} in the software without restriction{_GAP} furnished to do so the software is provided"),
+    ("x11", "granted free of charge", f"{_MIT}{_GAP} except as contained in this notice the name of"),
+    ("ncsa", "granted free of charge", f"{_MIT_FILES} with the software"),
+    ("bsl-1.0", "granted free of charge", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
+    ("ofl-1.1", "granted free of charge", "permission is hereby granted free of charge to any person obtaining a copy of the font software"),
+    ("isc", "permission to use copy modify", f"{_ISC} provided that the above copyright notice"),
+    ("0bsd", "permission to use copy modify", f"{_ISC} the software is provided"),
+    ("postgresql", "permission to use copy modify", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("bsd-2-clause", "redistribution and use in source", _BSD),
+    ("apache-1.1", "redistribution and use in source", f"{_BSD}{_GAP} the end user documentation included with the redistribution{_GAP} must include the following acknowledge?ment"),
+    ("openssl", "redistribution and use in source", f"{_BSD}{_GAP} the names openssl toolkit and openssl project must not be used"),
+    ("bsd-4-clause", "redistribution and use in source", f"{_BSD}{_GAP} all advertising materials mentioning features or use of this software must display the following acknowledge?ment(?:{_GAP} neither the name of)?"),
+    ("bsd-3-clause", "redistribution and use in source", f"{_BSD}{_GAP} neither the name of"),
+    ("gpl-1.0", "free software foundation", f"{_FREE} general public licen[sc]e {_FSF} 1"),
+    ("gpl-2.0", "free software foundation", f"{_FREE} general public licen[sc]e {_FSF} 2"),
+    ("gpl-3.0", "free software foundation", f"{_FREE} general public licen[sc]e {_FSF} 3"),
+    ("lgpl-2.0", "free software foundation", f"{_FREE} library general public licen[sc]e {_FSF} 2"),
+    ("lgpl-2.1", "free software foundation", f"{_FREE} lesser general public licen[sc]e {_FSF} 2 1"),
+    ("lgpl-3.0", "free software foundation", f"{_FREE} lesser general public licen[sc]e {_FSF} 3"),
+    ("agpl-3.0", "free software foundation", f"{_FREE} affero general public licen[sc]e {_FSF} 3"),
+    ("gpl-2.0", "freedom to share and change", "the gnu general public licen[sc]e is intended to guarantee your freedom to share and change free software"),
+    ("gpl-3.0", "freedom to share and change", "the gnu general public licen[sc]e is intended to guarantee your freedom to share and change all versions"),
+    ("apache-2.0", "each contributor hereby grants to you", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable"),
+    ("mpl-2.0", "source code form is subject to", "this source code form is subject to the terms of the mozilla public licen[sc]e v 2 0"),
+    ("zlib", "permission is granted to anyone", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
+    ("unlicense", "free and unencumbered software", "this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "changing it is allowed as long as", "changing it is allowed as long as the name is changed"),
+    ("python-2.0", "psf hereby grants", "psf hereby grants licensee a nonexclusive royalty free world wide licen[sc]e"),
+    ("cc0-1.0", "associated a work with this deed", "the person who associated a work with this deed has dedicated the work to the public domain"),
+]
+SIGNATURE_PRIORITY = 90
+GATE = (" all rights reserved ", " spdx ", " licenses ", *dict.fromkeys(x[1] for x in FAMILIES + SIGNATURES))
+PRIORITIES = sorted({SIGNATURE_PRIORITY, *(p for _, _, p, _ in FORMS)})
 
 
 def rules() -> list[dict]:
@@ -113,6 +156,9 @@ def rules() -> list[dict]:
                     "level": PRIORITIES.index(priority) + 1, "priority": priority,
                 }
             )
+    level = PRIORITIES.index(SIGNATURE_PRIORITY) + 1
+    for label, keyword, body in SIGNATURES:
+        out.append({"id": len(out), "label": label, "keywords": [keyword], "regex": f"(?<= ){body}(?= )", "level": level, "priority": SIGNATURE_PRIORITY})
     return out
 
 

@@ -257,7 +257,8 @@ def test_license_rules(spark):
 
 def samples(regex: str) -> list[str]:
     """Texts that a rule's regex matches: with and without what is optional, by each first and last alternative."""
-    body = regex.removeprefix("(?<= )").removesuffix("(?= )").replace("(?: [^ ]+){0,3}?", " one two three").replace("(?: [^ ]+){0,4}?", " a b c d").replace("[sc]", "s")
+    body = regex.removeprefix("(?<= )").removesuffix("(?= )").replace("(?: [^ ]+){0,3}?", " one two three").replace("(?: [^ ]+){0,4}?", " a b c d")
+    body = body.replace("(?: [^ ]+){0,250}?", " x y").replace("[^ ]+", "2").replace("e?ment", "ment").replace("[sc]", "s")
     out = set()
     for keep in (True, False):
         for at in (0, -1):
@@ -290,6 +291,33 @@ def test_gates_change_no_result(spark, monkeypatch):
     assert got == scanned()
 
 
+def test_license_bodies_without_a_name(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including the rights to use it, and to permit persons to whom the Software is furnished to do so"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Keep the notice."
+    own = "2. All advertising materials mentioning features or use of this software must display the following acknowledgement: theirs."
+    name = "3. Neither the name of the holder nor the names of its contributors may be used to endorse products."
+    free = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    cases = {
+        f"{mit}, subject to the following conditions: keep this.": "mit",
+        f"{mit}. THE SOFTWARE IS PROVIDED \"AS IS\".": "mit-0",
+        f"{mit}, subject to this. Except as contained in this notice, the name of X shall not be used.": "x11",
+        mit.replace("deal in", "deal with"): "ncsa",
+        f"{isc}, provided that the above copyright notice appears.": "isc",
+        f"{isc}. THE SOFTWARE IS PROVIDED": "0bsd",
+        bsd: "bsd-2-clause",
+        f"{bsd} {name}": "bsd-3-clause",
+        f"{bsd} {own}": "bsd-4-clause",
+        f"{bsd} {own} {name}": "bsd-4-clause",
+        free: "gpl,gpl-2.0",
+        "This is free and unencumbered software released into the public domain.": "unlicense",
+        "permission to use the pool is hereby granted": "",
+    }
+    data = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(data).collect()}
+    assert {t: got[i] for i, t in enumerate(cases)} == cases
+
+
 def test_bpe_round_trip(docs, none):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encode = bpe.encoding(path, public_tokenizers.PATTERN).encode_ordinary
