@@ -132,6 +132,13 @@ def test_pipeline(spark, tmp_path):
     assert got == want
 
 
+def test_near_dedup_compares_five_words(spark):
+    own = [f"w{i}" for i in range(200)]
+    other = [f"n{i}" if i in (20, 60, 100, 140, 180) else w for i, w in enumerate(own)]  # similarity 0.816 on four words, 0.774 on five
+    docs = spark.createDataFrame([(1, " ".join(own), "en", "a", 0), (2, " ".join(other), "en", "a", 0)], KIND)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 2]
+
+
 def test_stages_return_the_columns_of_documents(spark):
     extra = "row string, id int, _id int, score string, digest string"
     empty = spark.createDataFrame([], f"{KIND}, {extra}")
