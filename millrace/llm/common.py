@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Taken from the session (``spark.checkpoint.dir``); a local folder is made
-    only where the session names none, as in tests on one machine.
+    Where it is unset, a local folder serves a session on one machine; on a cluster it is an error.
     """
     sc = spark.sparkContext
     there = sc.getCheckpointDir()
     if there is None:
-        there = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-")
-        sc.setCheckpointDir(there)
+        there = spark.conf.get("spark.checkpoint.dir", None)
+        if there is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(there or tempfile.mkdtemp(prefix="millrace-"))
         there = sc.getCheckpointDir()
     return there.rstrip("/")
 
@@ -52,17 +54,32 @@ def stash(df: DataFrame, what: str = "stash") -> DataFrame:
 HOT = 1024
 
 
-def tell(rows: DataFrame, table: DataFrame, key: list[str], size: str, total: int) -> DataFrame:
-    """Inner join of ``rows`` with one row per key in ``table``, safe against hot keys.
+def tell(rows: DataFrame, table: DataFrame, key: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """Join of ``rows`` with one row per key in ``table`` (``how``: inner or left), safe against hot keys.
 
-    ``table[size]`` is the number of ``rows`` with the key, out of ``total``.
-    Keys that hold more than 1/HOT of them are at most HOT: a bounded broadcast.
+    ``table[size]`` is at least the number of ``rows`` with the key, and they add up to
+    about ``total``. Keys that hold more than 1/HOT of them are at most HOT: a bounded
+    broadcast.
     """
     is_hot = F.col(size) * HOT > total
     met = rows.join(F.broadcast(table.filter(is_hot)), key, "left")
     cold = met.filter(F.col(size).isNull()).select(*rows.columns)
     warm = met.filter(F.col(size).isNotNull())
-    return warm.unionByName(cold.join(table.filter(~is_hot).hint("merge"), key))
+    return warm.unionByName(cold.join(table.filter(~is_hot).hint("merge"), key, how))
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``rows`` with their place from 0 in ``order``; one row per order, sorted in ranges and never in one task.
+
+    Only the ranges' counts (one row per partition) meet in one place.
+    """
+    ranges = n_parts(rows.sparkSession)
+    dealt = stash(rows.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return dealt.withColumn(name, inside).join(F.broadcast(offsets), "_range").withColumn(name, F.col(name) + F.col("_offset")).drop("_range", "_offset")
 
 
 def whole(docs: DataFrame) -> Column:

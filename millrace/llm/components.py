@@ -1,11 +1,11 @@
-"""Connected components of a large graph: large-star and small-star steps until nothing changes."""
+"""Connected components of a large graph: large-star and small-star steps until all are stars."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stash
+from millrace.llm.common import stash, tell
 
 
 def _both(e: DataFrame) -> DataFrame:
@@ -18,24 +18,28 @@ def components(edges: DataFrame) -> DataFrame:
     Each step sends every neighbour of a node to the smallest one, the larger
     neighbours first, then the smaller; components shrink to stars around their
     smallest node in a number of steps that grows with the logarithm of the
-    longest path. Steps are joins and minima with map-side combine, so that the
-    centre of a large star is no bottleneck.
+    longest path. Minima are combined map-side, and they reach a node's edges
+    through ``tell``: the centre of a large star is broadcast, so its edges stay
+    where they are.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()  # a > b, or a loop
     e = stash(e, "edges")
     loops = e.filter("a = b").select(F.col("a").alias("node"))
-    before = None
-    while True:
+    total = e.count()
+    while total:
         both = _both(e.filter("a <> b"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        larger = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        low = larger.groupBy("a").agg(F.min("b").alias("m"))
-        smaller = larger.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m"))
+        larger = tell(both.filter("b > a"), low, ["a"], "n", 2 * total).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        larger = stash(larger.distinct(), "edges")
+        low = larger.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        smaller = tell(larger, low, ["a"], "n", total)
+        smaller = smaller.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         after = stash(smaller.filter("a <> b").distinct(), "edges")
-        now = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if before is not None and tuple(now) == before:
+        e, total = after, after.count()
+        ends = e.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(e.select(F.col("b").alias("node"), F.lit(0).alias("up")))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("low"))
+        if ends.filter("up > 1 OR up = 1 AND low = 0").isEmpty():  # every node has one neighbour below it or is a centre: stars
             break
-        before, e = tuple(now), after
     star = e.filter("a <> b").select(F.col("a").alias("node"), F.col("b").alias("root"))
     centres = star.select(F.col("root").alias("node"), "root").distinct()
     found = star.unionByName(centres)

@@ -5,36 +5,47 @@
    Documents with equal sets are one class; its smallest doc_id speaks for it.
 2. *Band.* Classes that agree on all rows of a band share a bucket. A pair at
    the threshold shares none with probability (1 - 0.8**7)**60 < 1e-6.
-3. *Cluster.* Links must not be lost, and pairs of a bucket must not be listed:
-   members are compared (by sketch) with the bucket's first member only. Since
-   Jaccard distance is a metric, whoever is close to it (``core``) has all its
-   links within the first member's wider circle (``edge``), so they end in one
-   cluster. Members that aren't close go on to the next round with a new first
-   member, and what is left then is compared pair by pair. Buckets that one
-   cluster fills are dropped, so later bands cost little.
-4. *Verify.* A cluster's texts meet in tasks of two blocks of at most
-   ``2 * block`` texts, where links are decided on full sets; a task returns a
-   spanning forest of its links, so its result is no longer than its input.
-   Components of these forests are the answer.
+3. *Prune.* What a document's shingles that no other document of a wide bucket
+   has leave of its similarity to any is bounded; where the bound, given the
+   sizes in a bucket, is below the threshold, the document leaves the bucket.
+4. *Cluster.* Links must not be lost, and pairs of a bucket must not be listed.
+   Of each bucket a few members of its rarer clusters (``pivots``) are compared
+   by sketch with the members of other clusters; whoever might be linked joins
+   the pivot's cluster, and pivots leave the bucket. A bucket that one cluster
+   fills is dropped, so a group of near copies is done after a comparison or two
+   for each member. A bucket that stays wide holds documents unlike each other
+   (with a common passage); its members are dealt anew by one more band each,
+   as linked pairs meet there again. This goes on until no bucket is open.
+5. *Verify.* A cluster's texts meet in one task, where links are decided on full
+   sets. A larger cluster is dealt into blocks, each with the same few members
+   beside its own (those with the fewest shingles that no other has), so that a
+   text is sent once and blocks are linked through what they share. Where that
+   leaves a large cluster in several components, they are compared over its
+   buckets as in step 4, texts instead of sketches deciding. A task returns a spanning forest of its links. Components of these
+   forests are the answer.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with
 nothing; texts of fewer words than a shingle have one; rows repeated under one
-doc_id are one document with all their links; a null doc_id is linked with
-nothing and kept; an empty table gives an empty result; other columns are
+doc_id are one document with all their links in ``near_duplicates``, while
+``kept_rows`` tells its rows apart by doc_id and text and takes null doc_ids as
+the largest; a null doc_id is linked with nothing and kept in
+``near_duplicates``; an empty table gives an empty result; other columns are
 ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stash, tell, text_or_empty, whole
+from millrace.llm.common import numbered, stash, tell, text_or_empty, whole
 from millrace.llm.components import components
 from millrace.llm.shingles import mix, shingles, sketches
 
@@ -48,12 +59,13 @@ class NearParams:
     percent: int = 80  # 100 * intersection >= percent * union
     bands: int = 60
     rows: int = 7
-    first_bands: int = 8  # clustered before the rest is looked at
-    core: float = 0.70  # sketch agreement; three deviations above 0.64, whose links reach 0.44
-    edge: float = 0.38  # three deviations below 0.44
-    pair: float = 0.66  # sketch agreement that a pair at the threshold exceeds (seven deviations below 0.8)
-    rounds: int = 2
-    block: int = 256
+    first_bands: int = 8  # one round of these comes before the rest is looked at
+    pair: float = 0.68  # sketch agreement that a pair at the threshold exceeds (six deviations below 0.8)
+    wide: int = 64  # members of an open bucket above which it is dealt anew
+    again: int = 20  # bands that it is dealt by; a pair at the threshold meets in none with a probability of 4e-5
+    depth: int = 3  # times that it may be
+    block: int = 256  # texts in a task
+    shared: int = 8  # members of a large cluster that all its blocks have
 
 
 def _features(p: NearParams):
@@ -100,41 +112,92 @@ def _agreement(size: int):
     return same
 
 
+def _alike(pairs: DataFrame, sketch: DataFrame, p: NearParams) -> DataFrame:
+    """Those of the pairs a, b that may be linked, by sketch."""
+    same = _agreement(p.bands * p.rows)
+    pairs = stash(pairs.select("a", "b").distinct(), "pairs")
+    total = pairs.count()
+    pivots = pairs.groupBy("a").agg(F.count("*").alias("n")).join(sketch.hint("merge"), F.col("a") == F.col("rep"))
+    with_a = tell(pairs, pivots.select("a", "n", F.col("sketch").alias("sa")), ["a"], "n", total)
+    both = with_a.join(sketch.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")).hint("merge"), "b")
+    return stash(both.select("a", "b", same("sa", "sb").alias("est")).filter(F.col("est") >= p.pair).select("a", "b"), "alike")
+
+
+def _open(active: DataFrame) -> tuple[DataFrame, int]:
+    """Members of the buckets that more than one root shares, with the bucket's size and largest root, and how many there are."""
+    by_root = active.groupBy("key", "root").agg(F.count("*").alias("c"))
+    state = by_root.groupBy("key").agg(F.sum("c").alias("n"), F.count("*").alias("roots"), F.max(F.struct("c", "root"))["root"].alias("big"))
+    state = stash(state.filter("roots > 1").select("key", "n", "big"), "open")
+    found = stash(tell(active, state, ["key"], "n", active.count()), "active")
+    return found, found.count()
+
+
+def _pairs(active: DataFrame, total: int, pivots: int) -> tuple[DataFrame, DataFrame]:
+    """Up to ``pivots`` members of each bucket, none of its largest root, and their pairs (a, b, ra, rb) with members of other roots."""
+    minor = active.filter(F.col("root") != F.col("big"))
+    minor = minor.groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(pivots)).alias("slot")).agg(F.min(F.struct("rep", "root")).alias("pivot"), F.max("n").alias("n"))
+    lists = minor.groupBy("key").agg(F.collect_list("pivot").alias("pivots"), F.max("n").alias("n"))
+    chosen = stash(lists, "pivots")
+    met = tell(active.drop("n"), chosen, ["key"], "n", total).select("rep", "root", F.explode("pivots").alias("pivot"))
+    met = met.filter(F.col("root") != F.col("pivot.root"))
+    pairs = met.select(F.col("pivot.rep").alias("a"), F.col("rep").alias("b"), F.col("pivot.root").alias("ra"), F.col("root").alias("rb"))
+    return chosen.select("key", F.explode("pivots.rep").alias("rep")), pairs
+
+
+def _settled(active: DataFrame, sketch: DataFrame, judge: Callable[[DataFrame], DataFrame], p: NearParams, rounds: int | None = None) -> DataFrame | None:
+    """Edges a, b that join all linked members of a bucket; None if there are none.
+
+    ``active``: key, rep, root, last (the band that the key ends with). ``judge``
+    takes pairs a, b and returns edges.
+    """
+    edges, done, depth = None, 0, 0
+    active = stash(active, "active")
+    while rounds is None or done < rounds:
+        active, total = _open(active)
+        if not total:
+            break
+        if done and depth < p.depth:
+            wide = active.filter(F.col("n") > p.wide)
+            if not wide.isEmpty():
+                each = wide.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(p.again)))).join(sketch.hint("merge"), "rep")
+                band = F.pmod(F.col("last") + F.col("step"), F.lit(p.bands))
+                key = F.xxhash64("key", F.substring("sketch", band * p.rows + 1, F.lit(p.rows)))
+                anew = each.select(key.alias("key"), "rep", "root", band.cast("int").alias("last"))
+                active = stash(active.filter(F.col("n") <= p.wide).select("key", "rep", "root", "last").unionByName(anew), "active")
+                active, total = _open(active)
+                if not total:
+                    break
+            depth += 1
+        pivots, pairs = _pairs(active, total, 8 ** min(done, 2))
+        pairs = stash(pairs.distinct(), "met")
+        new = judge(pairs.select("a", "b"))
+        edges = new if edges is None else edges.unionByName(new)
+        known = pairs.select(F.col("a"), F.col("ra").alias("b")).unionByName(pairs.select(F.col("b").alias("a"), F.col("rb").alias("b")))
+        merged = components(new.unionByName(known.distinct()))
+        old = active.groupBy("root").agg(F.count("*").alias("_n")).join(merged.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root")
+        left = active.join(pivots.hint("merge"), ["key", "rep"], "left_anti").select("key", "rep", "root", "last")
+        left = tell(stash(left, "active"), stash(old.filter("root <> _to"), "moved"), ["root"], "_n", total, "left")
+        active = stash(left.select("key", "rep", F.coalesce("_to", "root").alias("root"), "last"), "active")
+        done += 1
+    return edges
+
+
 def _clusters(buckets: DataFrame, sketch: DataFrame, p: NearParams) -> DataFrame:
     """node, root over class representatives; linked ones share a root. ``buckets``: key, rep, band."""
-    same = _agreement(p.bands * p.rows)
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        """a, b, est of distinct pairs."""
-        with_a = pairs.select("a", "b").distinct().join(sketch.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a")
-        both = with_a.join(sketch.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
-        return stash(both.select("a", "b", same("sa", "sb").alias("est")), "pairs")
-
-    edges, roots = None, None
-    for lo, hi in ((0, p.first_bands), (p.first_bands, p.bands)):
-        active = buckets.filter((F.col("band") >= lo) & (F.col("band") < hi)).select("key", "rep")
-        if roots is not None:
-            active = active.join(roots, active["rep"] == roots["node"], "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-            open_ = active.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
-            active = active.join(open_.select("key"), "key", "left_semi")
-        else:
-            active = active.withColumn("root", F.col("rep"))
-        active = stash(active, "active")
-        for _ in range(p.rounds):
-            first = active.groupBy("key").agg(F.min(F.struct("rep", "root")).alias("f"), F.count("*").alias("n")).filter("n > 1")
-            met = active.join(first, "key").filter(F.col("rep") != F.col("f.rep"))
-            met = met.select("key", "rep", "root", F.col("f.rep").alias("a"), (F.col("root") == F.col("f.root")).alias("known"))
-            found = compared(met.select("a", F.col("rep").alias("b")))
-            new = found.filter(F.col("est") >= p.edge).select("a", "b")
-            edges = new if edges is None else edges.unionByName(new)
-            far = found.filter(F.col("est") < p.core).select("a", F.col("b").alias("rep"))
-            active = stash(met.join(far, ["a", "rep"]).select("key", "rep", "root"), "active")
-        x, y = active.alias("x"), active.alias("y")
-        rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root")))
-        rest = compared(rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")))
-        edges = edges.unionByName(rest.filter(F.col("est") >= p.pair).select("a", "b"))
-        roots = stash(components(edges), "clusters")
-    return roots
+    def judge(pairs: DataFrame) -> DataFrame:
+        return _alike(pairs, sketch, p)
+
+    members = buckets.select("key", "rep", F.col("band").alias("last"))
+    edges = _settled(members.filter(F.col("last") < p.first_bands).withColumn("root", F.col("rep")), sketch, judge, p, 1)
+    if edges is not None:
+        roots = stash(components(edges), "roots")
+        members = members.join(roots.hint("merge"), members["rep"] == roots["node"], "left").select("key", "rep", F.coalesce("root", "rep").alias("root"), "last")
+    else:
+        members = members.withColumn("root", F.col("rep"))
+    more = _settled(members, sketch, judge, p)
+    none = buckets.sparkSession.createDataFrame([], "a long, b long")
+    return stash(components(reduce(DataFrame.unionByName, [x for x in (edges, more) if x is not None], none)), "clusters")
 
 
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[int]:
@@ -206,15 +269,15 @@ def _verify(p: NearParams):
                 tasks.append((len(reps), list(reps)))
 
         for b in batches:
-            rows = zip(b["cluster"].tolist(), b["lo"].tolist(), b["hi"].tolist(), b["rep"].tolist(), b["text"], strict=True)
-            for cluster, lo, hi, rep, text in rows:
-                if key != (cluster, lo, hi):
+            rows = zip(b["cluster"].tolist(), b["block"].tolist(), b["rep"].tolist(), b["text"], strict=True)
+            for cluster, block, rep, text in rows:
+                if key != (cluster, block):
                     close()
                     reps.clear()
                     if size > 4 << 20:
                         yield pd.DataFrame(list(linked(tasks, texts)), columns=["a", "b"], dtype="int64")
                         tasks, texts, size = [], [], 0
-                    key = (cluster, lo, hi)
+                    key = (cluster, block)
                 reps.append(rep)
                 texts.append(text.encode("utf-8", "surrogatepass"))
                 size += len(texts[-1])
@@ -224,6 +287,97 @@ def _verify(p: NearParams):
     return run
 
 
+def _confirmed(groups: DataFrame, texts: DataFrame, p: NearParams) -> DataFrame:
+    """Links a, b (a spanning forest of them) on full sets within each cluster and block of ``groups`` (cluster, block, rep)."""
+    met = texts.select("rep", "text").join(groups.hint("merge"), "rep").select("cluster", "block", "rep", "text")
+    met = met.repartition("cluster", "block").sortWithinPartitions("cluster", "block")
+    return stash(met.mapInPandas(_verify(p), "a long, b long"), "links")
+
+
+def _shingle_rows(p: NearParams):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts = [t.encode("utf-8", "surrogatepass") for t in b["text"]]
+            lo = 0
+            while lo < len(texts):
+                hi, size = lo, 0
+                while hi < len(texts) and size < 2 << 20:
+                    size += len(texts[hi])
+                    hi += 1
+                value, n = shingles(texts[lo:hi], p.words)
+                yield pd.DataFrame({"h": value.view(np.int64), "rep": np.repeat(b["rep"].iloc[lo:hi].to_numpy(np.int64), n)})
+                lo = hi
+
+    return run
+
+
+def _alone(buckets: DataFrame, texts: DataFrame, p: NearParams) -> tuple[DataFrame, DataFrame | None]:
+    """``buckets`` (key, rep) without documents that are linked with nothing in them, and rep, own: shingles of a document of a wide bucket that no other such has.
+
+    A linked document can't have more shingles than the common ones allow, so where
+    a bucket has none of the sizes that are left, a document goes.
+    """
+    size = stash(buckets.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > p.wide), "wide")
+    if size.isEmpty():
+        return buckets, None
+    wide = stash(tell(buckets, size, ["key"], "n", buckets.count()).select("key", "rep"), "wide")
+    inside = texts.join(wide.select("rep").distinct().hint("merge"), "rep")
+    rows = inside.mapInPandas(_shingle_rows(p), "h long, rep long")
+    single = rows.groupBy("h").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).filter("c = 1")
+    own = stash(single.groupBy("rep").agg(F.count("*").alias("own")), "own")
+    sized = texts.select("rep", "n_shingles").join(own.hint("merge"), "rep", "left")
+    sized = stash(wide.join(sized.withColumn("own", F.coalesce("own", F.lit(0))).hint("merge"), "rep"), "sized")
+    # y with |y| shingles shares at most m = |x| - own with x, so it has from t |x| to m / t + m - |x| of them
+    t, m = p.percent / 100, F.col("n_shingles") - F.col("own")
+
+    def step(n: Column) -> Column:
+        return F.floor(F.log(F.greatest(n.cast("double"), F.lit(1.0))) / math.log(1.02)).cast("int")
+
+    most = m / F.lit(t) + m - F.col("n_shingles")
+    asked = sized.filter(most < F.col("n_shingles")).withColumn("lo", step(F.col("n_shingles") * t - 1e-6)).withColumn("hi", step(most + 1e-6))
+    asked = stash(asked.select("key", "rep", F.when(F.col("lo") <= F.col("hi"), F.sequence("lo", "hi")).otherwise(F.array().cast("array<int>")).alias("steps")), "asked")
+    there = stash(sized.select("key", step(F.col("n_shingles")).alias("step")).distinct(), "sizes")
+    some = asked.select("key", "rep", F.explode("steps").alias("step")).join(there.hint("merge"), ["key", "step"], "left_semi")
+    gone = asked.join(some.select("key", "rep").distinct().hint("merge"), ["key", "rep"], "left_anti").select("key", "rep")
+    return stash(buckets.join(gone.hint("merge"), ["key", "rep"], "left_anti"), "buckets"), own
+
+
+def _links(clusters: DataFrame, buckets: DataFrame, sketch: DataFrame, texts: DataFrame, p: NearParams) -> DataFrame:
+    """Links a, b on full sets that make each cluster's true components."""
+    sizes = stash(clusters.groupBy("root").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
+    members = tell(clusters, sizes, ["root"], "size", clusters.count()).select(F.col("node").alias("rep"), F.col("root").alias("cluster"), F.ceil(F.col("size") / p.block).cast("int").alias("blocks"))
+    members = stash(members, "members")
+    large, own = _alone(members.filter("blocks > 1").select(F.col("cluster").alias("key"), "rep"), texts, p)
+    large = large.select(F.col("key").alias("cluster"), "rep")
+    if own is None:
+        groups = members.withColumn("everywhere", F.lit(False))
+    else:
+        ranked = large.join(own.hint("merge"), "rep", "left").select("cluster", "rep", F.coalesce("own", F.lit(0)).alias("own"))
+        some = ranked.groupBy("cluster", F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(p.shared))).agg(F.min(F.struct("own", "rep"))["rep"].alias("rep"))
+        groups = members.join(members.filter("blocks > 1").select("rep").join(large.select("rep").hint("merge"), "rep", "left_anti").hint("merge"), "rep", "left_anti")
+        groups = groups.join(some.select("rep", F.lit(True).alias("everywhere")).hint("merge"), "rep", "left")
+    mine = F.array(F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    block = F.when(F.col("everywhere"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(mine)
+    links = _confirmed(groups.select("cluster", F.explode(block).alias("block"), "rep"), texts, p)
+    if own is None:
+        return links
+
+    def judge(pairs: DataFrame) -> DataFrame:
+        alike = _alike(pairs, sketch, p)
+        degree = stash(alike.groupBy("a").agg(F.count("*").alias("n")), "degrees")
+        dealt = tell(alike, degree, ["a"], "n", alike.count())
+        dealt = dealt.select(F.col("a").alias("cluster"), F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / p.block)).cast("int").alias("block"), F.col("b").alias("rep"))
+        both = dealt.unionByName(dealt.select("cluster", "block", F.col("cluster").alias("rep")).distinct())
+        return _confirmed(both, texts, p)
+
+    roots = components(links).withColumnRenamed("node", "rep")
+    state = stash(large.select("rep", "cluster").join(roots.hint("merge"), "rep", "left").select("rep", "cluster", F.coalesce("root", "rep").alias("root")), "state")
+    open_ = state.groupBy("cluster").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).filter("x <> y")
+    state = tell(state, stash(open_.select("cluster", "n"), "unsettled"), ["cluster"], "n", state.count()).select("rep", "root")
+    more = _settled(buckets.join(state.hint("merge"), "rep").select("key", "rep", "root", F.col("band").alias("last")), sketch, judge, p)
+    return links if more is None else links.unionByName(more)
+
+
 def near_duplicates(docs: DataFrame, params: NearParams | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     p = params or NearParams()
@@ -233,23 +387,20 @@ def near_duplicates(docs: DataFrame, params: NearParams | None = None) -> DataFr
     sketched = stash(known.mapInPandas(_features(p), kinds), "sketches")
     full = sketched.filter("n_shingles > 0")
 
-    keys = full.select(F.explode("bands").alias("key"), "k1", "doc_id").repartition("key")
-    keys = keys.groupBy("key", "k1").agg(F.min("doc_id").alias("rep"))
-    shared = keys.groupBy("key").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).filter("x <> y").select("key")
-    buckets = stash(keys.join(shared, "key").select("key", "rep", F.pmod("key", F.lit(64)).cast("int").alias("band")), "buckets")
-    reps = buckets.select("rep").distinct()
-    sketch = stash(full.select(F.col("doc_id").alias("rep"), "sketch").join(reps.hint("merge"), "rep").dropDuplicates(["rep", "sketch"]), "reps")
+    entries = full.select(F.explode("bands").alias("key"), "k1", "doc_id")
+    shared = stash(entries.groupBy("key").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).filter("x <> y").select("key"), "shared")
+    # a plain join of two scans: adaptive execution splits it where one bucket is large
+    entries = entries.join(shared.hint("merge"), "key", "left_semi").groupBy("key", "k1").agg(F.min("doc_id").alias("rep"))
+    buckets = stash(entries.select("key", "rep", F.pmod("key", F.lit(64)).cast("int").alias("band")), "buckets")
+    reps = stash(buckets.select("rep").distinct(), "names")
+    sketch = full.select(F.col("doc_id").alias("rep"), "n_shingles", "sketch").join(reps.hint("merge"), "rep").dropDuplicates(["rep"])
+    sketch = stash(sketch, "reps")
+    # both sides grow with the table: texts are exchanged, once, and never the list sent around
+    texts = known.withColumnRenamed("doc_id", "rep").join(reps.hint("merge"), "rep")
+    texts = stash(texts.join(sketch.select("rep", "n_shingles").hint("merge"), "rep"), "texts")
+    buckets = _alone(buckets.select("key", "rep"), texts, p)[0].withColumn("band", F.pmod("key", F.lit(64)).cast("int"))
     clusters = _clusters(buckets, sketch, p)
-
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("size")).filter("size > 1")
-    members = clusters.join(sizes, "root").select(F.col("node").alias("rep"), F.col("root").alias("cluster"), F.ceil(F.col("size") / p.block).cast("int").alias("blocks"))
-    members = members.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # both sides grow with the table, so texts are always exchanged and never the list sent around
-    texts = known.withColumnRenamed("doc_id", "rep").join(members.hint("merge"), "rep")
-    spread = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("cluster", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "rep", "text")
-    tasks = spread.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
-    roots = components(tasks.mapInPandas(_verify(p), "a long, b long"))
+    roots = components(_links(clusters, buckets, sketch, texts, p))
 
     classes = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
     classes = stash(classes.join(roots, classes["rep"] == roots["node"], "left").select("k1", "k2", "size", F.coalesce("root", "rep").alias("component_id")), "classes")
@@ -267,8 +418,22 @@ def near_duplicates(docs: DataFrame, params: NearParams | None = None) -> DataFr
 
 
 def kept_rows(docs: DataFrame, params: NearParams | None = None) -> DataFrame:
-    """One row of each group of near duplicates, with its columns."""
-    stay = near_duplicates(docs, params).filter(F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct()
-    keyed = docs.select(whole(docs).alias("row"), F.col("doc_id").alias("id"))
-    met = keyed.join(stay, keyed["id"] == stay["_id"], "left_semi").dropDuplicates(["id"])
-    return met.unionByName(keyed.filter(F.col("id").isNull())).select("row.*")
+    """One row of each group of near duplicates, with its columns: the one with the smallest doc_id (of these, the smallest text hash)."""
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL")
+    own = _own(docs).alias("_own")
+    keyed = docs.select(whole(docs).alias("row"), F.col("doc_id").alias("id"), "text", own)
+    if ids.isEmpty():
+        keyed = keyed.drop("_own")
+    else:  # rows are told apart by doc_id and text, and numbered in that order
+        pairs = docs.select(F.col("doc_id").alias("id"), own).distinct()
+        places = numbered(pairs, [F.col("id").asc_nulls_last(), F.col("_own")], "_place")
+        places = stash(places.select(F.col("id").alias("_id"), F.col("_own").alias("_o"), "_place"), "places")
+        once = keyed.dropDuplicates(["id", "_own"])
+        keyed = once.join(places, once["id"].eqNullSafe(places["_id"]) & (once["_own"] == places["_o"])).select("row", F.col("_place").cast("long").alias("id"), "text")
+        keyed = stash(keyed, "numbered")
+    stay = near_duplicates(keyed.select(F.col("id").alias("doc_id"), "text"), params).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+    return keyed.join(stay, keyed["id"] == stay["_id"], "left_semi").select("row.*")
+
+
+def _own(docs: DataFrame) -> Column:
+    return F.xxhash64(text_or_empty(), docs["doc_id"])
