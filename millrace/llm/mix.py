@@ -7,24 +7,27 @@ whose target exceeds its size is taken whole first (complete epochs), and only
 what is left of the target is sampled.
 
 Plan: DataFrame operators only. The key's distribution is known, so keys are
-dealt into ``buckets`` ranges per source; a source's prefix sum is then a sum
-over its buckets (few rows) plus a sum inside one bucket. No task ever holds a
-whole source, however large.
+dealt into ranges, as many as leave about ``bucket_rows`` rows in one; a
+source's prefix sum is then a sum over its ranges (few rows) plus a sum inside
+one range. Sources are numbered by ranges, and targets come from a few sums over
+them, so neither a large source nor many sources meet in one task.
 
 Defined cases: a null text has size 0; a null source is a source of its own and
 comes last; a document without a label has weight 1; with several labels, their
-mean counts; rows repeated under one doc_id are separate documents; an empty
-table gives an empty result; other columns are ignored.
+mean counts; rows repeated under one doc_id are separate documents with one key
+(a null doc_id's key comes from its text); an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut
+from millrace.llm.common import numbered, stash, whole
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -35,7 +38,7 @@ class MixParams:
     share_num: int = 3  # all sources together get share_num / share_den of all sizes
     share_den: int = 2
     max_epochs: int = 2  # a target stops at this many times its source's size
-    buckets: int = 1024
+    bucket_rows: int = 100_000  # rows of a source in a range of keys, about
     seed: str = "mix"
 
 
@@ -52,58 +55,66 @@ def quality_weights(labels: DataFrame) -> DataFrame:
     )
 
 
-def uniform(doc_id: Column, seed: str) -> Column:
-    """A number in (0, 1) that depends on doc_id and seed only."""
-    digits = F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, 13)
+def uniform(doc_id: Column, text: Column, seed: str) -> Column:
+    """A number in (0, 1) that depends on seed and doc_id only, where that is null on the text."""
+    name = F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")))))
+    digits = F.substring(F.md5(F.concat(F.lit(seed + ":"), name)), 1, 13)
     return (F.conv(digits, 16, 10).cast("long").cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
 def targets(sizes: DataFrame, p: MixParams) -> DataFrame:
     """One row per source (source_key, source, source_size) to the same with its target.
 
-    Water filling: with sources in the order of cap per weight, those that reach
-    their cap form a prefix; the test for it is in whole numbers.
+    Water filling: what all weights would get alike is computed from sums over
+    the sources that aren't at their cap; those that it takes above their cap
+    are set to it, until there are none. The test is in whole numbers, and each
+    turn is one aggregate, of which at most a few are needed.
     """
-    everywhere = Window.partitionBy()
-    by_code = Window.orderBy(F.col("source").asc_nulls_last())
-    w = sizes.withColumn("_i", (F.row_number().over(by_code) - 1) % len(p.weights))
-    w = w.withColumn("_w", F.element_at(F.array(*[F.lit(x).cast("long") for x in p.weights]), F.col("_i") + 1))
-    w = w.withColumn("_cap", F.col("source_size") * p.max_epochs)
-    order = Window.orderBy((F.col("_cap").cast("double") / F.col("_w")).asc(), F.col("source").asc_nulls_last())
-    before = F.coalesce(F.sum("_cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rest = F.sum("_w").over(order.rowsBetween(0, Window.unboundedFollowing))
-    total = F.sum("source_size").over(everywhere)
-    w = w.select("*", before.alias("_before"), rest.alias("_rest"), total.alias("_total"))
-    left = F.col("_total") * p.share_num - F.col("_before") * p.share_den
-    w = w.withColumn("_capped", F.col("_cap") * F.col("_rest") * p.share_den <= F.col("_w") * left)
-    free = F.col("_total") * p.share_num - p.share_den * F.sum(F.when(F.col("_capped"), F.col("_cap")).otherwise(0)).over(everywhere)
-    free_weight = F.sum(F.when(F.col("_capped"), 0).otherwise(F.col("_w"))).over(everywhere)
-    w = w.select("*", free.alias("_free"), free_weight.alias("_free_weight"))
-    shared = F.col("_w").cast("double") * F.col("_free").cast("double") / (F.col("_free_weight") * p.share_den).cast("double")
-    return w.select(
-        "source_key", "source", "source_size",
-        F.when(F.col("_capped"), F.col("_cap").cast("double")).otherwise(shared).alias("target"),
-    )
-
-
-def mix(docs: DataFrame, weights: DataFrame | None = None, params: MixParams | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, for every row of ``docs``.
+    w = numbered(sizes, [F.col("source").asc_nulls_last()], "_i")
+    w = w.withColumn("_w", F.element_at(F.array(*[F.lit(x).cast("long") for x in p.weights]), (F.col("_i") % len(p.weights) + 1).cast("int")))
+    w = stash(w.withColumn("_cap", F.col("source_size") * p.max_epochs).drop("_i"), "sources")
+    whole = "decimal(38,0)"
+    total = int(w.agg(F.sum(F.col("source_size").cast(whole))).first()[0] or 0)
+    capped, before = F.lit(False), None
+    while True:
+        sums = w.agg(F.sum(F.when(capped, F.col("_cap").cast(whole))).alias("a"), F.sum(F.when(~capped, F.col("_w"))).alias("b"), F.count(F.when(capped, 1)).alias("n")).first()
+        free, weight = total * p.share_num - p.share_den * int(sums["a"] or 0), int(sums["b"] or 0)
+        if sums["n"] == before:
+            break
+        before = sums["n"]
+        capped = capped | (F.col("_cap").cast(whole) * F.lit(p.share_den * weight).cast(whole) <= F.col("_w").cast(whole) * F.lit(str(free)).cast(whole))
+        if not weight:
+            break
+    shared = F.col("_w").cast("double") * F.lit(float(free)) / F.lit(float(max(weight, 1) * p.share_den))
+    return w.select("source_key", "source", "source_size", F.when(capped, F.col("_cap").cast("double")).otherwise(shared).alias("target"))
+
+
+def mix(docs: DataFrame, weights: DataFrame | None = None, params: MixParams | None = None, more: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, for every row of ``docs``; and the columns ``more`` of its own.
 
     ``weights``: doc_id, weight (> 0), unique by doc_id.
     """
-    p = params or MixParams()
+    p, more = params or MixParams(), more or {}
     rows = docs.select(
         F.col("doc_id"), F.col("source"),
         F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("source_key"),
-        word_count(F.col("text")).alias("size"),
+        word_count(F.col("text")).alias("size"), uniform(F.col("doc_id"), F.col("text"), p.seed).alias("_u"),
+        # joined with the label by both, so that null doc_ids are spread over all tasks
+        F.coalesce(F.col("doc_id"), F.xxhash64("text")).alias("_label"), F.col("doc_id").isNull().alias("_nameless"),
+        *[c.alias(f"_more_{k}") for k, c in more.items()],
     )
-    rows = rows.join(weights, "doc_id", "left") if weights is not None else rows.withColumn("weight", F.lit(1.0))
-    key = -F.log(uniform(F.col("doc_id"), p.seed)) / F.coalesce(F.col("weight"), F.lit(1.0))
-    rows = rows.withColumn("_key", key).drop("weight")
-    bucket = F.least(F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * p.buckets), F.lit(p.buckets - 1)).cast("int")
-    rows = cut(rows.withColumn("_bucket", bucket))
-
-    sums = rows.groupBy("source_key", "_bucket").agg(F.sum("size").alias("_in"), F.max("source").alias("source"))
+    if weights is not None:
+        labels = weights.select(F.col("doc_id").alias("_label"), F.lit(False).alias("_nameless"), "weight")
+        rows = rows.join(labels, ["_label", "_nameless"], "left")
+    else:
+        rows = rows.withColumn("weight", F.lit(1.0))
+    key = -F.log("_u") / F.coalesce(F.col("weight"), F.lit(1.0))
+    rows = stash(rows.withColumn("_key", key).drop("weight", "_u", "_label", "_nameless"), "sizes")
+    buckets = max(16, math.ceil(rows.count() / p.bucket_rows))
+    bucket = F.least(F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * buckets), F.lit(buckets - 1)).cast("int")
+    rows = rows.withColumn("_bucket", bucket)
+
+    sums = stash(rows.groupBy("source_key", "_bucket").agg(F.sum("size").alias("_in"), F.count("*").alias("_n"), F.max("source").alias("source")), "sums")
     goals = targets(sums.groupBy("source_key").agg(F.max("source").alias("source"), F.sum("_in").alias("source_size")), p)
     running = Window.partitionBy("source_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -119,14 +130,31 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, params: MixParams | N
     return rows.join(offsets, ["source_key", "_bucket"]).select(
         "doc_id", "source", "size", "source_size", "target",
         (F.col("_epochs") * F.col("size") + part).cast("long").alias("taken"),
+        *[F.col(f"_more_{k}").alias(k) for k in more],
     )
 
 
+def copies(docs: DataFrame, weights: DataFrame | None = None, params: MixParams | None = None) -> DataFrame:
+    """The rows of ``docs`` that the mix takes from, with their columns, as often as it begins to take them.
+
+    Equal rows share one count, so a row is found by its doc_id and a hash of all its columns.
+    """
+    own = F.xxhash64(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+    taken = mix(docs, weights, params, {"own": own})
+    times = taken.select("doc_id", "own", F.ceil(F.col("taken") / F.greatest("size", F.lit(1))).alias("times"))
+    times = times.groupBy(F.col("doc_id").alias("_id"), F.col("own").alias("_own")).agg(F.sum("times").alias("_times"), F.count("*").alias("_n")).filter("_times > 0")
+    keyed = docs.select(whole(docs).alias("row"), F.col("doc_id").alias("id"), own.alias("own"))
+    if not times.filter("_n > 1").isEmpty():
+        keyed = keyed.dropDuplicates(["id", "own"])
+    met = keyed.join(times, F.col("id").eqNullSafe(F.col("_id")) & (F.col("own") == F.col("_own")))
+    return met.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select("row.*")
+
+
 MIX_SQL = r"""
 WITH w AS (SELECT doc_id, 0.5::DOUBLE + avg(quality::DOUBLE) AS weight FROM labels
            WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
-d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
-k AS (SELECT d.*, -ln((('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE)
+d AS (SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+k AS (SELECT d.*, -ln((('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, 'null:' || md5(coalesce(d.text, '')))), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE)
                       / 4503599627370496::DOUBLE) / coalesce(w.weight, 1::DOUBLE) AS key FROM d LEFT JOIN w USING (doc_id)),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS w, source_size * 2 AS cap FROM s0),
