@@ -5,7 +5,12 @@ text, one row per distinct text ever admitted: ``digest, keep_id, group_size``.
 New rows are first collapsed to one row per digest (map-side combine, so a
 group of copies of any size costs one row per task), then a sort-merge
 anti-join against the buckets finds the digests not yet known, and those are
-appended. The table lies at a path and can be opened again by later sessions.
+appended. The table lies at a path and can be opened again by later sessions;
+its number of buckets is stored beside it.
+
+A call may name its batch. Rows are kept by batch, a batch is judged against
+the rows of all others, and appending it again replaces what it had appended:
+after a failure the same batch can be run again and gets the same verdicts.
 
 Copies are told their keeper by a join on the digest; the few groups that hold
 a large share of all rows take a bounded broadcast (``common.tell``), all other
@@ -20,36 +25,53 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, fresh_path, n_parts, tell, text_or_empty, whole
+from millrace.llm.common import fresh_path, n_parts, stash, tell, text_or_empty, whole
 
 
 class DigestIndex:
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
-        """Open the index at ``path``, or make an empty one there.
-
-        ``buckets`` must be the number the index was made with.
-        """
-        self.spark, self.path = spark, path
-        self.name = "digest_index_" + "".join(c if c.isalnum() else "_" for c in path.rsplit("/", 1)[-1]).lower()
-        self.buckets = buckets or n_parts(spark)
+        """Open the index at ``path``, or make an empty one there (of ``buckets`` buckets)."""
+        self.spark, self.path = spark, path.rstrip("/")
+        self.buckets, known = self._stored(buckets or n_parts(spark))
+        if buckets and buckets != self.buckets:
+            raise ValueError(f"the index has {self.buckets} buckets, not {buckets}")
+        self.name = "digest_index_" + hashlib.md5(self.path.encode()).hexdigest()
+        place = f"{self.path}/rows".replace("\\", "\\\\").replace("'", "\\'")
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id BIGINT, group_size BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"
+            f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id BIGINT, group_size BIGINT, batch STRING) USING parquet "
+            f"PARTITIONED BY (batch) CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{place}'"
         )
+        if known:
+            spark.sql(f"MSCK REPAIR TABLE {self.name}")
+
+    def _stored(self, buckets: int) -> tuple[int, bool]:
+        """The index's number of buckets, stored now if it is new, and whether it was there."""
+        try:
+            return self.spark.read.schema("buckets int").json(f"{self.path}/spec").first()["buckets"], True
+        except AnalysisException:
+            self.spark.range(1).select(F.lit(buckets).alias("buckets")).write.json(f"{self.path}/spec")
+            return buckets, False
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def append_new(self, groups: DataFrame) -> None:
-        """Append those of ``groups`` (digest, keep_id, group_size) whose digest is not in the index."""
-        fresh = groups.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
-        fresh = fresh.select("digest", "keep_id", "group_size")
-        if not self.table().isEmpty():
-            fresh = cut(fresh)  # a table can't be read and written in one plan
-        fresh.repartition(self.buckets, "digest").write.insertInto(self.name)
+    def before(self, batch: str) -> DataFrame:
+        """The rows of all other batches."""
+        return self.table().filter(F.col("batch") != batch)
+
+    def append(self, fresh: DataFrame, batch: str) -> None:
+        """Append ``fresh`` (digest, keep_id, group_size), in place of what the batch had."""
+        view = f"fresh_{uuid.uuid4().hex}"
+        fresh.select("digest", "keep_id", "group_size").repartition(self.buckets, "digest").createOrReplaceTempView(view)
+        self.spark.sql(f"INSERT OVERWRITE TABLE {self.name} PARTITION (batch = '{batch}') SELECT * FROM {view}")
+        self.spark.catalog.dropTempView(view)
         self.spark.catalog.refreshTable(self.name)
 
 
@@ -58,28 +80,22 @@ def digests(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.unhex(F.sha2(text_or_empty().cast("binary"), 256)).alias("digest"))
 
 
-def dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """doc_id, digest, keep_id, group_size, kept for every row; appends new digests to ``index``.
+def dedup(docs: DataFrame, index: DigestIndex, batch: str | None = None) -> DataFrame:
+    """doc_id, digest, keep_id, group_size, kept for every row; appends new digests to ``index`` as ``batch``.
 
-    ``group_size`` counts the rows of this call with that text.
+    ``group_size`` counts the rows of this call with that text. Without a name
+    the batch is a new one each time.
     """
-    rows = cut(digests(docs))
-    total = rows.count()
-    groups = cut(rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
-    known = index.table().select("digest", F.col("keep_id").alias("known_id"), F.lit(True).alias("known"))
-    if index.table().isEmpty():
-        index.append_new(groups)
-        verdicts = index.table().withColumn("new", F.lit(True))
-    else:
-        verdicts = cut(
-            groups.join(known.hint("merge"), "digest", "left").select(
-                "digest", F.when(F.col("known"), F.col("known_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-                "group_size", F.col("known").isNull().alias("new"),
-            )
-        )
-        index.append_new(groups)
-    verdicts = verdicts.select("digest", "keep_id", "group_size", "new")
-    found = tell(rows, verdicts, ["digest"], "group_size", total)
+    batch = "".join(c if c.isalnum() else f"_{ord(c):x}_" for c in batch) if batch else uuid.uuid4().hex
+    rows = stash(digests(docs), "digests")
+    groups = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    known = index.before(batch).select("digest", F.col("keep_id").alias("known_id"), F.lit(True).alias("known"))
+    met = groups.join(known.hint("merge"), "digest", "left").select(
+        "digest", F.when(F.col("known"), F.col("known_id")).otherwise(F.col("keep_id")).alias("keep_id"), "group_size", F.col("known").isNull().alias("new"),
+    )
+    verdicts = stash(met, "verdicts")
+    index.append(verdicts.filter("new"), batch)
+    found = tell(rows, verdicts, ["digest"], "group_size", rows.count())
     return found.select(
         "doc_id", "digest", "keep_id", "group_size", (F.col("new") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept")
     )
@@ -89,14 +105,17 @@ def new_index(spark: SparkSession) -> DigestIndex:
     return DigestIndex(spark, fresh_path(spark, "digests"))
 
 
-def kept_rows(docs: DataFrame, index: DigestIndex) -> DataFrame:
+def kept_rows(docs: DataFrame, index: DigestIndex, batch: str | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
-    stay = dedup(docs, index).filter("kept").select("doc_id", "digest").distinct()
-    stay = stay.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    keyed = docs.select(whole(docs).alias("row"), F.unhex(F.sha2(text_or_empty().cast("binary"), 256)).alias("digest"), F.col("doc_id").alias("id"))
+    key = ["digest", "id", "nameless"]
+    stay = dedup(docs, index, batch).filter("kept")
+    stay = stay.select("digest", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("nameless")).distinct()
+    keyed = docs.select(
+        whole(docs).alias("row"), F.unhex(F.sha2(text_or_empty().cast("binary"), 256)).alias("digest"),
+        F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("nameless"),
+    )
     # repeated rows of one document meet in the join's partition, so one is chosen without another shuffle
-    same = keyed["digest"].eqNullSafe(stay["_digest"]) & keyed["id"].eqNullSafe(stay["_id"])
-    return keyed.join(stay, same, "left_semi").dropDuplicates(["id", "digest"]).select("row.*")
+    return keyed.join(stay, key, "left_semi").dropDuplicates(key).select("row.*")
 
 
 DEDUP_SQL = """

@@ -220,6 +220,43 @@ def test_digest_index_persists(spark):
     assert again.table().count() == 3
 
 
+def test_two_indexes_with_one_last_name(spark, tmp_path):
+    kind = "doc_id long, text string"
+    a, b = (digestindex.DigestIndex(spark, f"{tmp_path}/{x}'s/idx") for x in "ab")
+    assert digestindex.dedup(spark.createDataFrame([(1, "a"), (2, "b")], kind), a).filter("kept").count() == 2
+    assert b.table().count() == 0
+    assert digestindex.dedup(spark.createDataFrame([(3, "a")], kind), b).filter("kept").count() == 1
+    with pytest.raises(ValueError):
+        digestindex.DigestIndex(spark, a.path, a.buckets + 1)
+    spark.sql(f"DROP TABLE {a.name}")  # as a session without this table in its catalog opens it
+    again = digestindex.DigestIndex(spark, a.path)
+    assert (again.buckets, again.table().count()) == (a.buckets, 2)
+
+
+def test_a_batch_can_be_run_again(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, text string")
+    index, columns = digestindex.new_index(spark), ("doc_id", "keep_id", "group_size", "kept")
+    first = table(digestindex.dedup(docs, index, "monday"), *columns)
+    other = table(digestindex.dedup(docs, index, "tuesday"), *columns)
+    assert table(digestindex.dedup(docs, index, "monday"), *columns) == first == Counter({(1, 2, 2, False): 1, (2, 2, 2, True): 1, (3, 3, 1, True): 1})
+    assert not any(k[3] for k in other)
+    assert index.table().count() == 2
+
+
+def test_mixed_rows_come_as_often_as_they_are_taken(spark):
+    data = [(None, "w " * 10, "a", i) for i in range(10)] + [(5, "x " * k, "a", 0) for k in (3, 3, 4)] + [(6, None, "b", 1), (7, "y " * 400, "c", 1)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, own int")
+    own = F.xxhash64("doc_id", "text", "source", "own")
+    want = Counter()
+    hashes = {r["h"]: tuple(r)[:4] for r in docs.select("*", own.alias("h")).collect()}
+    for r in mix.mix(docs, more={"own": own}).collect():
+        n = -(-r["taken"] // max(r["size"], 1))
+        want.update({hashes[r["own"]]: n} if n else {})
+    assert Counter(tuple(r) for r in mix.copies(docs).collect()) == want
+    assert sum(want.values()) > 12
+    assert mix.copies(docs.limit(0)).columns == docs.columns
+
+
 def test_license_base(docs, none):
     got = table(licenses.scan(docs), "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
     want = Counter()
