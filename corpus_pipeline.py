@@ -18,34 +18,43 @@ from millrace.registry import table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores at the threshold or above go."""
+    """Documents that the classifier scores at the threshold or above go.
+
+    Null and empty texts have the model's bias as score; repeated rows, ties and null doc_ids are judged by their text alone.
+    """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs.select(whole(docs).alias("row"), "text"), model)
     return scored.filter(F.col("score") < toxicity.ToxicityParams().threshold).select("row.*")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts the row with the largest doc_id stays.
+
+    Null counts as empty text; a null doc_id stays only where there is no other; of repeated rows one stays.
+    """
     return digestindex.kept_rows(docs, digestindex.new_index(spark))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, by shingles of five words, the row with the smallest doc_id stays."""
+    """Of each group of near duplicates, by shingles of five words, the row with the smallest doc_id stays.
+
+    Texts without words are linked with nothing and stay; null doc_ids come last; rows of one doc_id with unlike texts are
+    documents of their own, and of repeated rows one stays.
+    """
     return minhash.kept_rows(docs, minhash.NearParams(words=5))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes from stay; those it takes beyond one whole pass come twice."""
-    taken = mix.mix(docs, mix.quality_weights(table(spark, sf_dir, "labels")))
-    times = taken.select(F.col("doc_id").alias("_id"), F.ceil(F.col("taken") / F.greatest("size", F.lit(1))).cast("int").alias("_times"))
-    times = times.filter("_times > 0").groupBy("_id").agg(F.max("_times").alias("_times"))
-    keyed = docs.select(whole(docs).alias("row"), F.col("doc_id").alias("id"))
-    met = keyed.join(times, F.col("id").eqNullSafe(F.col("_id")))
-    return met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("row.*")
+    """Documents that the mix takes from stay; those it takes beyond one whole pass come twice.
+
+    Texts without words have size 0, are never taken and go; a null source is one of its own; repeated rows and null doc_ids are
+    mixed row by row.
+    """
+    return mix.copies(docs, mix.quality_weights(table(spark, sf_dir, "labels")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left, with the digests of ids and of the decoded bytes."""
+    """Token ids of what is left, with the digests of ids and of the decoded bytes; null counts as empty, every row has its own."""
     return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digest=True)
 
 
