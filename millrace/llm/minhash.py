@@ -61,7 +61,7 @@ class NearParams:
     rows: int = 7
     first_bands: int = 8  # one round of these comes before the rest is looked at
     pair: float = 0.68  # sketch agreement that a pair at the threshold exceeds (six deviations below 0.8)
-    wide: int = 64  # members of an open bucket above which it is dealt anew
+    wide: int = 32  # members of an open bucket above which it is dealt anew
     again: int = 20  # bands that it is dealt by; a pair at the threshold meets in none with a probability of 4e-5
     depth: int = 3  # times that it may be
     block: int = 256  # texts in a task
@@ -132,53 +132,57 @@ def _open(active: DataFrame) -> tuple[DataFrame, int]:
     return found, found.count()
 
 
-def _pairs(active: DataFrame, total: int, pivots: int) -> tuple[DataFrame, DataFrame]:
-    """Up to ``pivots`` members of each bucket, none of its largest root, and their pairs (a, b, ra, rb) with members of other roots."""
+def _pairs(active: DataFrame, total: int, slot: Column) -> tuple[DataFrame, DataFrame]:
+    """Of each bucket's members that aren't of its largest root one pivot for each ``slot``, and the pivots' pairs (a, b, ra, rb) with members of other roots."""
     minor = active.filter(F.col("root") != F.col("big"))
-    minor = minor.groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(pivots)).alias("slot")).agg(F.min(F.struct("rep", "root")).alias("pivot"), F.max("n").alias("n"))
-    lists = minor.groupBy("key").agg(F.collect_list("pivot").alias("pivots"), F.max("n").alias("n"))
-    chosen = stash(lists, "pivots")
+    minor = minor.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("rep", "root")).alias("pivot"), F.max("n").alias("n"))
+    chosen = stash(minor.groupBy("key").agg(F.collect_list("pivot").alias("pivots"), F.max("n").alias("n")), "pivots")
     met = tell(active.drop("n"), chosen, ["key"], "n", total).select("rep", "root", F.explode("pivots").alias("pivot"))
     met = met.filter(F.col("root") != F.col("pivot.root"))
-    pairs = met.select(F.col("pivot.rep").alias("a"), F.col("rep").alias("b"), F.col("pivot.root").alias("ra"), F.col("root").alias("rb"))
-    return chosen.select("key", F.explode("pivots.rep").alias("rep")), pairs
+    a, b = F.struct("pivot.rep", "pivot.root"), F.struct("rep", "root")
+    pairs = met.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).distinct()
+    pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb"))
+    return chosen.select("key", F.explode("pivots.rep").alias("rep")), stash(pairs, "met")
 
 
-def _settled(active: DataFrame, sketch: DataFrame, judge: Callable[[DataFrame], DataFrame], p: NearParams, rounds: int | None = None) -> DataFrame | None:
+def _narrowed(active: DataFrame, total: int, sketch: DataFrame, p: NearParams) -> tuple[DataFrame, int]:
+    """Open buckets, the wide ones dealt anew by one more band each until none is wide or ``depth`` is reached."""
+    for _ in range(p.depth):
+        wide = active.filter(F.col("n") > p.wide)
+        if not total or wide.isEmpty():
+            break
+        each = wide.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(p.again)))).join(sketch.hint("merge"), "rep")
+        band = F.pmod(F.col("last") + F.col("step"), F.lit(p.bands))
+        key = F.xxhash64("key", F.substring("sketch", band * p.rows + 1, F.lit(p.rows)))
+        anew = each.select(key.alias("key"), "rep", "root", band.cast("int").alias("last"))
+        active, total = _open(stash(active.filter(F.col("n") <= p.wide).select("key", "rep", "root", "last").unionByName(anew), "active"))
+    return active, total
+
+
+def _settled(active: DataFrame, sketch: DataFrame, judge: Callable[[DataFrame], DataFrame], p: NearParams) -> DataFrame | None:
     """Edges a, b that join all linked members of a bucket; None if there are none.
 
     ``active``: key, rep, root, last (the band that the key ends with). ``judge``
-    takes pairs a, b and returns edges.
+    takes pairs a, b and returns edges. A bucket that isn't wide is done at
+    once, its members of rarer roots being pivots; one that stays wide has
+    ``wide`` pivots in each round.
     """
-    edges, done, depth = None, 0, 0
-    active = stash(active, "active")
-    while rounds is None or done < rounds:
-        active, total = _open(active)
-        if not total:
-            break
-        if done and depth < p.depth:
-            wide = active.filter(F.col("n") > p.wide)
-            if not wide.isEmpty():
-                each = wide.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(p.again)))).join(sketch.hint("merge"), "rep")
-                band = F.pmod(F.col("last") + F.col("step"), F.lit(p.bands))
-                key = F.xxhash64("key", F.substring("sketch", band * p.rows + 1, F.lit(p.rows)))
-                anew = each.select(key.alias("key"), "rep", "root", band.cast("int").alias("last"))
-                active = stash(active.filter(F.col("n") <= p.wide).select("key", "rep", "root", "last").unionByName(anew), "active")
-                active, total = _open(active)
-                if not total:
-                    break
-            depth += 1
-        pivots, pairs = _pairs(active, total, 8 ** min(done, 2))
-        pairs = stash(pairs.distinct(), "met")
+    edges = None
+    active, total = _narrowed(*_open(stash(active, "active")), sketch, p)
+    while total:
+        slot = F.when(F.col("n") <= p.wide, F.col("rep")).otherwise(F.pmod(F.xxhash64("rep"), F.lit(p.wide)))
+        pivots, pairs = _pairs(active, total, slot)
         new = judge(pairs.select("a", "b"))
         edges = new if edges is None else edges.unionByName(new)
-        known = pairs.select(F.col("a"), F.col("ra").alias("b")).unionByName(pairs.select(F.col("b").alias("a"), F.col("rb").alias("b")))
+        active = active.filter(F.col("n") > p.wide)
+        if active.isEmpty():
+            break
+        known = pairs.select("a", F.col("ra").alias("b")).unionByName(pairs.select(F.col("b").alias("a"), F.col("rb").alias("b")))
         merged = components(new.unionByName(known.distinct()))
         old = active.groupBy("root").agg(F.count("*").alias("_n")).join(merged.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root")
         left = active.join(pivots.hint("merge"), ["key", "rep"], "left_anti").select("key", "rep", "root", "last")
         left = tell(stash(left, "active"), stash(old.filter("root <> _to"), "moved"), ["root"], "_n", total, "left")
-        active = stash(left.select("key", "rep", F.coalesce("_to", "root").alias("root"), "last"), "active")
-        done += 1
+        active, total = _open(stash(left.select("key", "rep", F.coalesce("_to", "root").alias("root"), "last"), "active"))
     return edges
 
 
@@ -189,7 +193,8 @@ def _clusters(buckets: DataFrame, sketch: DataFrame, p: NearParams) -> DataFrame
         return _alike(pairs, sketch, p)
 
     members = buckets.select("key", "rep", F.col("band").alias("last"))
-    edges = _settled(members.filter(F.col("last") < p.first_bands).withColumn("root", F.col("rep")), sketch, judge, p, 1)
+    active, total = _open(stash(members.filter(F.col("last") < p.first_bands).withColumn("root", F.col("rep")), "active"))
+    edges = judge(_pairs(active, total, F.lit(0))[1]) if total else None
     if edges is not None:
         roots = stash(components(edges), "roots")
         members = members.join(roots.hint("merge"), members["rep"] == roots["node"], "left").select("key", "rep", F.coalesce("root", "rep").alias("root"), "last")
