@@ -61,9 +61,9 @@ class NearParams:
     rows: int = 7
     first_bands: int = 8  # one round of these comes before the rest is looked at
     pair: float = 0.68  # sketch agreement that a pair at the threshold exceeds (six deviations below 0.8)
-    wide: int = 32  # members of an open bucket above which it is dealt anew
+    wide: int = 32  # members of a bucket, without its largest root's, above which it is dealt anew
     again: int = 20  # bands that it is dealt by; a pair at the threshold meets in none with a probability of 4e-5
-    depth: int = 3  # times that it may be
+    depth: int = 2  # times that it may be
     block: int = 256  # texts in a task
     shared: int = 8  # members of a large cluster that all its blocks have
 
@@ -124,10 +124,11 @@ def _alike(pairs: DataFrame, sketch: DataFrame, p: NearParams) -> DataFrame:
 
 
 def _open(active: DataFrame) -> tuple[DataFrame, int]:
-    """Members of the buckets that more than one root shares, with the bucket's size and largest root, and how many there are."""
+    """Members of the buckets that more than one root shares, with the bucket's size, its largest root and the number of other members; and how many there are."""
     by_root = active.groupBy("key", "root").agg(F.count("*").alias("c"))
-    state = by_root.groupBy("key").agg(F.sum("c").alias("n"), F.count("*").alias("roots"), F.max(F.struct("c", "root"))["root"].alias("big"))
-    state = stash(state.filter("roots > 1").select("key", "n", "big"), "open")
+    state = by_root.groupBy("key").agg(F.sum("c").alias("n"), F.count("*").alias("roots"), F.max(F.struct("c", "root")).alias("m"))
+    state = state.filter("roots > 1").select("key", "n", F.col("m.root").alias("big"), (F.col("n") - F.col("m.c")).alias("rare"))
+    state = stash(state, "open")
     found = stash(tell(active, state, ["key"], "n", active.count()), "active")
     return found, found.count()
 
@@ -148,14 +149,14 @@ def _pairs(active: DataFrame, total: int, slot: Column) -> tuple[DataFrame, Data
 def _narrowed(active: DataFrame, total: int, sketch: DataFrame, p: NearParams) -> tuple[DataFrame, int]:
     """Open buckets, the wide ones dealt anew by one more band each until none is wide or ``depth`` is reached."""
     for _ in range(p.depth):
-        wide = active.filter(F.col("n") > p.wide)
+        wide = active.filter(F.col("rare") > p.wide)
         if not total or wide.isEmpty():
             break
         each = wide.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(p.again)))).join(sketch.hint("merge"), "rep")
         band = F.pmod(F.col("last") + F.col("step"), F.lit(p.bands))
         key = F.xxhash64("key", F.substring("sketch", band * p.rows + 1, F.lit(p.rows)))
         anew = each.select(key.alias("key"), "rep", "root", band.cast("int").alias("last"))
-        active, total = _open(stash(active.filter(F.col("n") <= p.wide).select("key", "rep", "root", "last").unionByName(anew), "active"))
+        active, total = _open(stash(active.filter(F.col("rare") <= p.wide).select("key", "rep", "root", "last").unionByName(anew), "active"))
     return active, total
 
 
@@ -170,11 +171,11 @@ def _settled(active: DataFrame, sketch: DataFrame, judge: Callable[[DataFrame],
     edges = None
     active, total = _narrowed(*_open(stash(active, "active")), sketch, p)
     while total:
-        slot = F.when(F.col("n") <= p.wide, F.col("rep")).otherwise(F.pmod(F.xxhash64("rep"), F.lit(p.wide)))
+        slot = F.when(F.col("rare") <= p.wide, F.col("rep")).otherwise(F.pmod(F.xxhash64("rep"), F.lit(p.wide)))
         pivots, pairs = _pairs(active, total, slot)
         new = judge(pairs.select("a", "b"))
         edges = new if edges is None else edges.unionByName(new)
-        active = active.filter(F.col("n") > p.wide)
+        active = active.filter(F.col("rare") > p.wide)
         if active.isEmpty():
             break
         known = pairs.select("a", F.col("ra").alias("b")).unionByName(pairs.select(F.col("b").alias("a"), F.col("rb").alias("b")))
