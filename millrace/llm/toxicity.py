@@ -135,15 +135,15 @@ def nonneg_fit(x: np.ndarray, is_pos: np.ndarray, prior: float, p: ToxicityParam
     return theta[:-1], float(theta[-1])
 
 
-def _gain(p: np.ndarray, u: np.ndarray, n_p: int, n_u: int) -> np.ndarray:
+def _gain(p: Column, u: Column, n_p: int, n_u: int) -> Column:
     """Log-likelihood ratio of a feature's rate among positives against that among unlabelled."""
 
-    def part(k: np.ndarray, n: int, rate: np.ndarray) -> np.ndarray:
-        rate = np.clip(rate, 1e-12, 1 - 1e-12)
-        return k * np.log(rate) + (n - k) * np.log(1 - rate)
+    def part(k: Column, n: int, rate: Column) -> Column:
+        rate = F.least(F.greatest(rate, F.lit(1e-12)), F.lit(1 - 1e-12))
+        return k * F.log(rate) + (F.lit(n) - k) * F.log(F.lit(1.0) - rate)
 
-    both = (p + u) / (n_p + n_u)
-    return 2 * (part(p, n_p, p / n_p) + part(u, n_u, u / n_u) - part(p, n_p, both) - part(u, n_u, both))
+    both = (p + u) / F.lit(float(n_p + n_u))
+    return 2 * (part(p, n_p, p / F.lit(float(n_p))) + part(u, n_u, u / F.lit(float(n_u))) - part(p, n_p, both) - part(u, n_u, both))
 
 
 def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = None) -> ToxicityModel:
@@ -170,10 +170,8 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = No
             return ToxicityModel({}, float("-inf"))
         rates = sample.mapInPandas(_counts, "feature string, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
         rates = rates.filter(F.col("p") >= p.min_positive).filter(F.col("p") * n_u > F.col("u") * n_p)
-        top = rates.orderBy(F.desc(F.col("p") / n_p - F.col("u") / n_u), "feature").limit(8 * p.n_features).toPandas()
-        top["gain"] = _gain(top["p"].to_numpy(float), top["u"].to_numpy(float), n_p, n_u)
-        top = top[top["gain"] >= p.min_gain].sort_values(["gain", "feature"], ascending=[False, True]).head(p.n_features)
-        names = list(top["feature"])
+        gained = rates.withColumn("gain", _gain(F.col("p"), F.col("u"), n_p, n_u)).filter(F.col("gain") >= p.min_gain)
+        names = [r["feature"] for r in gained.orderBy(F.desc("gain"), "feature").limit(p.n_features).collect()]
         if not names:
             return ToxicityModel({}, float("-inf"))
         place = {x: i for i, x in enumerate(names)}
