@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut
+from millrace.llm.common import cut, stash
 
 RESULT = "query_id long, vec_id long, score double"
 
@@ -113,12 +113,28 @@ def _distance(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
+def byte_sums(q: np.ndarray) -> np.ndarray:
+    """For each byte of a code and each value of it, the signed sums of the queries' components that it stands for."""
+    padded = np.pad(q, ((0, 0), (0, -q.shape[1] % 8)))
+    signs = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1) * 2.0 - 1
+    return np.stack([signs @ padded[:, at : at + 8].T for at in range(0, padded.shape[1], 8)])
+
+
+def products(code: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Inner products of packed codes (as signs) and queries, a byte of the code at a time."""
+    total = sums[0][code[:, 0]]
+    for j in range(1, len(sums)):
+        total += sums[j][code[:, j]]
+    return total
+
+
 def _search(index: RabitqIndex, ids: np.ndarray, queries: np.ndarray, p: RabitqParams) -> DataFrame:
     centre, turn, dim = index.centre, index.turn, queries.shape[1]
     moved = queries - centre
     q_len = np.sqrt((moved**2).sum(axis=1))
     q_unit = moved @ turn.T / np.where(q_len > 0, q_len, 1)[:, None]
     bound = p.spread / math.sqrt(max(dim - 1, 1))
+    sums = byte_sums(q_unit)
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best_q, best_id, best_d = np.empty(0, int), np.empty(0, int), np.empty(0)
@@ -130,9 +146,8 @@ def _search(index: RabitqIndex, ids: np.ndarray, queries: np.ndarray, p: RabitqP
                 x = np.stack(part["embedding"].to_numpy()).astype(float)
                 vec = part["vec_id"].to_numpy()
                 code = np.frombuffer(b"".join(part["code"]), np.uint8).reshape(len(part), -1)
-                signs = np.unpackbits(code, axis=1, count=dim).astype(float) * 2 - 1
                 length, dot = part["length"].to_numpy(), part["dot"].to_numpy()
-                estimate = signs @ q_unit.T / (math.sqrt(dim) * dot)[:, None]
+                estimate = products(code, sums) / (math.sqrt(dim) * dot)[:, None]
                 spread = np.sqrt(np.maximum(1 - dot**2, 0)) / dot * bound
                 scale = 2 * length[:, None] * q_len
                 middle = length[:, None] ** 2 + q_len**2 - scale * estimate
@@ -175,7 +190,8 @@ def search(index: RabitqIndex | None, is_query: Column, spark, params: RabitqPar
         rows = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).orderBy("vec_id").collect()
         if rows:
             ids = np.array([r["vec_id"] for r in rows], dtype=np.int64)
-            found.append(_search(index, ids, np.array([r["embedding"] for r in rows], dtype=float), p))
+            # written at once: what a block needs on the driver is gone before the next one
+            found.append(stash(_search(index, ids, np.array([r["embedding"] for r in rows], dtype=float), p), "nearest"))
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
