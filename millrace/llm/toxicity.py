@@ -101,7 +101,8 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if len(unl) + len(pos) > 2_000_000:
             yield _counted(pos, unl)
             pos, unl = Counter(), Counter()
-    yield _counted(pos, unl)
+    if unl or pos:  # an empty column of strings can't be returned
+        yield _counted(pos, unl)
 
 
 def _counted(pos: Counter, unl: Counter) -> pd.DataFrame:
