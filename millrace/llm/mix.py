@@ -39,6 +39,7 @@ class MixParams:
     share_den: int = 2
     max_epochs: int = 2  # a target stops at this many times its source's size
     bucket_rows: int = 100_000  # rows of a source in a range of keys, about
+    least_buckets: int = 128
     seed: str = "mix"
 
 
@@ -110,7 +111,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, params: MixParams | N
         rows = rows.withColumn("weight", F.lit(1.0))
     key = -F.log("_u") / F.coalesce(F.col("weight"), F.lit(1.0))
     rows = stash(rows.withColumn("_key", key).drop("weight", "_u", "_label", "_nameless"), "sizes")
-    buckets = max(16, math.ceil(rows.count() / p.bucket_rows))
+    buckets = max(p.least_buckets, math.ceil(rows.count() / p.bucket_rows))
     bucket = F.least(F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * buckets), F.lit(buckets - 1)).cast("int")
     rows = rows.withColumn("_bucket", bucket)
 
