@@ -443,3 +443,20 @@ def kept_rows(docs: DataFrame, params: NearParams | None = None) -> DataFrame:
 
 def _own(docs: DataFrame) -> Column:
     return F.xxhash64(text_or_empty(), docs["doc_id"])
+
+
+#: Components by reachability over links between distinct sets; for tables of a few thousand documents.
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                       '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+             ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END) AS s FROM w),
+k AS (SELECT doc_id, len(s) AS n, md5(array_to_string(s, chr(10))) AS c, s FROM s),
+c AS (SELECT c, any_value(n) AS n, min(doc_id) AS least, any_value(s) AS s FROM k WHERE n > 0 GROUP BY c),
+u AS (SELECT c, n, unnest(s) AS x FROM c),
+l AS (SELECT a.c AS a, b.c AS b FROM u a JOIN u b ON a.x = b.x AND a.c <> b.c GROUP BY a.c, b.c, a.n, b.n
+      HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r(c, t) AS (SELECT c, c FROM c UNION SELECT l.b, r.t FROM r JOIN l ON l.a = r.c),
+m AS (SELECT r.t AS c, min(c.least) AS component FROM r JOIN c ON c.c = r.c GROUP BY r.t)
+SELECT doc_id, n::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id, doc_id = coalesce(component, doc_id) AS kept FROM k LEFT JOIN m USING (c)
+"""

@@ -80,5 +80,7 @@ ORACLE_SQL: dict[str, str] = {
     "op1_source_mix": mix.MIX_SQL,
     "op3_line_templates": linetemplates.TEMPLATES_SQL,
     "op4_exact_dedup": digestindex.DEDUP_SQL,
+    "op7_suffix_dedup": suffixdedup.REPEATS_SQL,
+    "op8_near_duplicates": minhash.NEAR_SQL,
     "op9_vector_neighbours": rabitq.NEAREST_SQL,
 }

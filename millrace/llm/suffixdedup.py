@@ -491,3 +491,21 @@ def remove_repeats(docs: DataFrame, params: SuffixParams | None = None, digest:
     marks = runs.mapInPandas(_merged(p), PACKED)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digest else "kept binary")
     return texts.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInPandas(_removed(p, digest), schema)
+
+
+#: Every 100-byte window by its hash, in hexadecimal; for tables of a few MB.
+REPEATS_SQL = """
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT r, p, substr(h, 2000 * p + 1, 2200) AS h FROM (SELECT r, h, unnest(range(0, (length(h) + 1999) // 2000)) AS p FROM d)),
+w AS (SELECT r, 1000 * p + i AS i, hash(substr(h, 2 * i + 1, 200)) AS k
+      FROM (SELECT r, p, h, unnest(range(0, greatest(0, least(1000, length(h) // 2 - 99)))) AS i FROM p)),
+m AS (SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY k ORDER BY r, i) AS x FROM w) WHERE x > 1),
+g AS (SELECT r, i, sum(CASE WHEN i > before + 100 OR before IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS g
+      FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM m)),
+s AS (SELECT r, min(i) AS lo, max(i) + 100 AS hi FROM g GROUP BY r, g),
+t AS (SELECT s.r, lo, hi, substr(h, 2 * coalesce(lag(hi) OVER (PARTITION BY s.r ORDER BY lo), 0) + 1,
+                                 2 * (lo - coalesce(lag(hi) OVER (PARTITION BY s.r ORDER BY lo), 0))) AS kept FROM s JOIN d ON d.r = s.r),
+o AS (SELECT r, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(kept, '' ORDER BY lo) AS kept, max(hi) AS hi FROM t GROUP BY r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(hi, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN o USING (r)
+"""
