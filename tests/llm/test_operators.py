@@ -398,6 +398,23 @@ def test_suffix_dedup(spark, docs, none, hot):
     assert ids == Counter(r[0] for r in rows())
 
 
+def test_suffix_dedup_of_repeated_and_null_ids(spark):
+    long = "".join(random.Random(8).choice("abc") for _ in range(250))
+    data = [(1, long), (1, long), (2, "x" + long[:120] + "y" + long[100:]), (3, None), (3, ""), (None, long[50:] + "z"), (-5, long[:100])]
+    seen, want = set(), Counter()
+    for doc_id, text in sorted(data, key=lambda d: (d[0] is None, d[0] or 0)):
+        b = (text or "").encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - 99):
+            if b[i : i + 100] in seen:
+                gone[i : i + 100] = b"\1" * 100
+            seen.add(b[i : i + 100])
+        spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
+        want[(doc_id, len(b), sum(gone), spans, sha(bytes(x for x, g in zip(b, gone, strict=True) if not g)))] += 1
+    got = suffixdedup.remove_repeats(spark.createDataFrame(data, "doc_id long, text string").repartition(3), digest=True)
+    assert table(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+
+
 def test_merge_runs_knows_prefixes():
     rng = random.Random(5)
     runs = [sorted(bytes(rng.choice(b"ab\0") for _ in range(rng.randrange(9))) for _ in range(rng.randrange(20))) for _ in range(7)]

@@ -139,8 +139,35 @@ def test_near_dedup_compares_five_words(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 2]
 
 
-def test_stages_return_the_columns_of_documents(spark):
-    extra = "row string, id int, _id int, score string, digest string"
-    empty = spark.createDataFrame([], f"{KIND}, {extra}")
-    for _, stage in corpus_pipeline.STAGES[1:3]:
-        assert stage(spark, empty, "").columns == empty.columns
+EXTRA = "row string, id int, _id int, score string, digest string, own string, _own string"
+
+
+def test_stages_return_the_columns_of_documents(spark, tmp_path):
+    spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    empty = spark.createDataFrame([], f"{KIND}, {EXTRA}")
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, empty, str(tmp_path))
+        assert name == "byte_bpe" or got.columns == empty.columns
+        assert got.count() == 0
+
+
+def test_stages_keep_awkward_rows_whole(spark, tmp_path):
+    spark.createDataFrame([(1, 1, 1), (2, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    more = ("r", 1, 2, "s", "d", "o", "p")
+    data = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "one two three four five six", "en", "a", 0), (3, "one two three four five six", "en", "a", 0)]
+    data += [(3, "quite another text of its own here", "en", "a", 0), (None, "nameless text with words of its own", "en", "b", 0), (None, "another nameless text about other things", "en", "b", 0)]
+    data += [(9, "long " * 20000, "en", "b", 0)]
+    docs = spark.createDataFrame([(*d, *more) for d in data], f"{KIND}, {EXTRA}")
+
+    def rows(df) -> Counter:
+        return Counter(tuple(r) for r in df.collect())
+
+    stages, whole = dict(corpus_pipeline.STAGES), rows(docs)
+    kept = rows(stages["toxicity"](spark, docs, str(tmp_path)))
+    assert not kept - whole
+    once = rows(stages["exact_dedup"](spark, docs, str(tmp_path)))
+    assert once == Counter({(*d, *more): 1 for d in data if d[0] != 1})  # null counts as empty, and the larger doc_id stays
+    near = rows(stages["near_dedup"](spark, docs, str(tmp_path)))
+    assert near == Counter({(*d, *more): 1 for d in data})
+    assert set(rows(stages["source_mix"](spark, docs, str(tmp_path)))) <= set(whole)
+    assert stages["byte_bpe"](spark, docs, str(tmp_path)).count() == len(data)
