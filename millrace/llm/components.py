@@ -1,47 +1,85 @@
-"""Connected components of a large graph: large-star and small-star steps until all are stars."""
+"""Connected components of a large graph: contraction within blocks of edges, then small-star and large-star steps until all are stars."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import stash, tell
 
+BLOCK = 1 << 20  # edges that a task holds at once
+
+
+def _stars(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    """Stars around the smallest node of each component of these edges; a loop for a node without others."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            break
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+    centre = np.zeros(len(nodes), bool)
+    centre[label[label != np.arange(len(nodes))]] = True
+    return pd.DataFrame({"a": nodes[~centre], "b": nodes[label[~centre]]})
+
 
-def _both(e: DataFrame) -> DataFrame:
-    return e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+def _contract(block: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += len(batch)
+            if size >= block:
+                met, held, size = pd.concat(held), [], 0
+                yield _stars(met["a"].to_numpy(np.int64), met["b"].to_numpy(np.int64))
+        if size:
+            met = pd.concat(held)
+            yield _stars(met["a"].to_numpy(np.int64), met["b"].to_numpy(np.int64))
 
+    return run
 
-def components(edges: DataFrame) -> DataFrame:
+
+def _done(e: DataFrame) -> bool:
+    """Whether every node has one neighbour below it or is a centre; ``e`` may repeat edges."""
+    ends = e.select(F.col("a").alias("node"), F.col("b").alias("up")).unionByName(e.select(F.col("b").alias("node"), F.lit(None).cast("long").alias("up")))
+    ends = ends.groupBy("node").agg(F.min("up").alias("x"), F.max("up").alias("y"), (F.count("*") - F.count("up")).alias("below"))
+    return ends.filter("x <> y OR x IS NOT NULL AND below > 0").isEmpty()
+
+
+def components(edges: DataFrame, block: int = BLOCK) -> DataFrame:
     """node, root (smallest node of its component) of every node in ``edges`` (a, b); loops are allowed.
 
-    Each step sends every neighbour of a node to the smallest one, the larger
-    neighbours first, then the smaller; components shrink to stars around their
-    smallest node in a number of steps that grows with the logarithm of the
-    longest path. Minima are combined map-side, and they reach a node's edges
-    through ``tell``: the centre of a large star is broadcast, so its edges stay
-    where they are.
+    Every round begins with blocks of edges that become stars around their smallest
+    node, without a shuffle. A small-star step then sends a node and its smaller
+    neighbours to the smallest of them, a large-star step its larger ones; components
+    shrink to stars around their smallest node in a number of rounds that grows with
+    the logarithm of the longest path at most. Minima are combined map-side, and they
+    reach a node's edges through ``tell``: the centre of a large star is broadcast, so
+    its edges stay where they are.
     """
-    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()  # a > b, or a loop
-    e = stash(e, "edges")
-    loops = e.filter("a = b").select(F.col("a").alias("node"))
-    total = e.count()
-    while total:
-        both = _both(e.filter("a <> b"))
+    first = e = stash(edges.select("a", "b").mapInPandas(_contract(block), "a long, b long"), "edges")
+    loops = first.filter("a = b").select(F.col("a").alias("node")).distinct()
+    while True:
+        e = e.filter("a <> b")  # a > b
+        total = e.count()
+        if not total or _done(e):
+            break
+        low = e.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        smaller = tell(e, low, ["a"], "n", total)
+        smaller = stash(smaller.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")), "edges")
+        both = smaller.unionByName(smaller.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m"))
         larger = tell(both.filter("b > a"), low, ["a"], "n", 2 * total).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        larger = stash(larger.distinct(), "edges")
-        low = larger.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        smaller = tell(larger, low, ["a"], "n", total)
-        smaller = smaller.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        after = stash(smaller.filter("a <> b").distinct(), "edges")
-        e, total = after, after.count()
-        ends = e.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(e.select(F.col("b").alias("node"), F.lit(0).alias("up")))
-        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("low"))
-        if ends.filter("up > 1 OR up = 1 AND low = 0").isEmpty():  # every node has one neighbour below it or is a centre: stars
-            break
-    star = e.filter("a <> b").select(F.col("a").alias("node"), F.col("b").alias("root"))
-    centres = star.select(F.col("root").alias("node"), "root").distinct()
-    found = star.unionByName(centres)
+        e = stash(stash(larger, "edges").mapInPandas(_contract(block), "a long, b long"), "edges")
+    star = e.select(F.col("a").alias("node"), F.col("b").alias("root")).distinct()
+    found = star.unionByName(star.select(F.col("root").alias("node"), "root").distinct())
     alone = loops.join(found, "node", "left_anti").select("node", F.col("node").alias("root"))
     return found.unionByName(alone)

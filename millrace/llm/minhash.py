@@ -113,12 +113,9 @@ def _agreement(size: int):
 
 
 def _alike(pairs: DataFrame, sketch: DataFrame, p: NearParams) -> DataFrame:
-    """Those of the pairs a, b that may be linked, by sketch."""
+    """Those of the pairs a, b (distinct ones) that may be linked, by sketch; adaptive execution splits the pairs of a pivot that has very many."""
     same = _agreement(p.bands * p.rows)
-    pairs = stash(pairs.select("a", "b").distinct(), "pairs")
-    total = pairs.count()
-    pivots = pairs.groupBy("a").agg(F.count("*").alias("n")).join(sketch.hint("merge"), F.col("a") == F.col("rep"))
-    with_a = tell(pairs, pivots.select("a", "n", F.col("sketch").alias("sa")), ["a"], "n", total)
+    with_a = pairs.select("a", "b").join(sketch.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")).hint("merge"), "a")
     both = with_a.join(sketch.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")).hint("merge"), "b")
     return stash(both.select("a", "b", same("sa", "sb").alias("est")).filter(F.col("est") >= p.pair).select("a", "b"), "alike")
 
