@@ -126,7 +126,8 @@ def _open(active: DataFrame) -> tuple[DataFrame, int]:
     state = by_root.groupBy("key").agg(F.sum("c").alias("n"), F.count("*").alias("roots"), F.max(F.struct("c", "root")).alias("m"))
     state = state.filter("roots > 1").select("key", "n", F.col("m.root").alias("big"), (F.col("n") - F.col("m.c")).alias("rare"))
     state = stash(state, "open")
-    found = stash(tell(active, state, ["key"], "n", active.count()), "active")
+    # a plain join: adaptive execution splits large buckets, and only members of shared buckets leave it
+    found = stash(active.join(state.hint("merge"), "key"), "active")
     return found, found.count()
 
 
