@@ -35,11 +35,13 @@ def _contract(block: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
         for batch in batches:
-            held.append(batch)
-            size += len(batch)
-            if size >= block:
+            while size + len(batch) > block:
+                held.append(batch.iloc[: block - size])
+                batch = batch.iloc[block - size :]
                 met, held, size = pd.concat(held), [], 0
                 yield _stars(met["a"].to_numpy(np.int64), met["b"].to_numpy(np.int64))
+            held.append(batch)
+            size += len(batch)
         if size:
             met = pd.concat(held)
             yield _stars(met["a"].to_numpy(np.int64), met["b"].to_numpy(np.int64))
@@ -47,6 +49,11 @@ def _contract(block: int):
     return run
 
 
+def _blocks(e: DataFrame, total: int, block: int) -> DataFrame:
+    """Stars of the components of each block of edges; as few tasks as there are blocks, each holding one block at a time."""
+    return stash(e.coalesce(max(1, -(-total // block))).mapInPandas(_contract(block), "a long, b long"), "stars")
+
+
 def _done(e: DataFrame) -> bool:
     """Whether every node has one neighbour below it or is a centre; ``e`` may repeat edges."""
     ends = e.select(F.col("a").alias("node"), F.col("b").alias("up")).unionByName(e.select(F.col("b").alias("node"), F.lit(None).cast("long").alias("up")))
@@ -57,17 +64,20 @@ def _done(e: DataFrame) -> bool:
 def components(edges: DataFrame, block: int = BLOCK) -> DataFrame:
     """node, root (smallest node of its component) of every node in ``edges`` (a, b); loops are allowed.
 
-    Every round begins with blocks of edges that become stars around their smallest
-    node, without a shuffle. A small-star step then sends a node and its smaller
+    Every round begins with blocks of up to ``block`` edges that become stars around
+    their smallest node, without a shuffle; edges that fit one block are done with
+    that, at any round. Else a small-star step sends a node and its smaller
     neighbours to the smallest of them, a large-star step its larger ones; components
     shrink to stars around their smallest node in a number of rounds that grows with
     the logarithm of the longest path at most. Minima are combined map-side, and they
     reach a node's edges through ``tell``: the centre of a large star is broadcast, so
     its edges stay where they are.
     """
-    first = e = stash(edges.select("a", "b").mapInPandas(_contract(block), "a long, b long"), "edges")
+    given = stash(edges.select("a", "b"), "edges")
+    total = given.count()
+    first = e = _blocks(given, total, block)
     loops = first.filter("a = b").select(F.col("a").alias("node")).distinct()
-    while True:
+    while total > block:
         e = e.filter("a <> b")  # a > b
         total = e.count()
         if not total or _done(e):
@@ -78,8 +88,10 @@ def components(edges: DataFrame, block: int = BLOCK) -> DataFrame:
         both = smaller.unionByName(smaller.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m"))
         larger = tell(both.filter("b > a"), low, ["a"], "n", 2 * total).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = stash(stash(larger, "edges").mapInPandas(_contract(block), "a long, b long"), "edges")
-    star = e.select(F.col("a").alias("node"), F.col("b").alias("root")).distinct()
+        larger = stash(larger, "edges")
+        total = larger.count()
+        e = _blocks(larger, total, block)
+    star = e.filter("a <> b").select(F.col("a").alias("node"), F.col("b").alias("root")).distinct()
     found = star.unionByName(star.select(F.col("root").alias("node"), "root").distinct())
     alone = loops.join(found, "node", "left_anti").select("node", F.col("node").alias("root"))
     return found.unionByName(alone)
