@@ -19,10 +19,13 @@
 5. *Verify.* A cluster's texts meet in one task, where links are decided on full
    sets. A larger cluster is dealt into blocks, each with the same few members
    beside its own (those with the fewest shingles that no other has), so that a
-   text is sent once and blocks are linked through what they share. Where that
-   leaves a large cluster in several components, they are compared over its
-   buckets as in step 4, texts instead of sketches deciding. A task returns a spanning forest of its links. Components of these
-   forests are the answer.
+   text is sent once and blocks are linked through what they share. A task
+   returns a spanning forest of its links.
+6. *Rest.* Where that leaves a large cluster in several components, members
+   outside the largest are asked against all of it in blocks, on full sets again,
+   but as differences from one member: near copies differ in few shingles, so
+   what is copied into several blocks is short. Components of all these forests
+   are the answer.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with
 nothing; texts of fewer words than a shingle have one; rows repeated under one
@@ -346,7 +349,121 @@ def _alone(buckets: DataFrame, texts: DataFrame, p: NearParams) -> tuple[DataFra
     return stash(buckets.join(gone.hint("merge"), ["key", "rep"], "left_anti"), "buckets"), own
 
 
-def _links(clusters: DataFrame, buckets: DataFrame, sketch: DataFrame, texts: DataFrame, p: NearParams) -> DataFrame:
+def _differences(p: NearParams):
+    """rep, n (its shingles), diff (those that it or the base of its cluster has, but not both); the base comes first in each block."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        base = np.empty(0, np.uint64)
+        for b in batches:
+            texts = [t.encode("utf-8", "surrogatepass") for t in b["text"]]
+            rep, first, block = b["rep"].to_numpy(np.int64), b["first"].to_numpy(bool), b["block"].to_numpy(np.int64)
+            lo = 0
+            while lo < len(texts):
+                hi, size = lo, 0
+                while hi < len(texts) and size < 2 << 20:
+                    size += len(texts[hi])
+                    hi += 1
+                value, n = shingles(texts[lo:hi], p.words)
+                end = np.cumsum(n)
+                at, diffs = [], []
+                for i in range(lo, hi):
+                    own = value[end[i - lo] - n[i - lo] : end[i - lo]]
+                    if first[i]:
+                        base = own
+                    if not first[i] or block[i] == 0:
+                        at.append(i)
+                        diffs.append(np.setxor1d(base, own, assume_unique=True).view(np.int64))
+                yield pd.DataFrame({"rep": rep[at], "n": n[np.array(at, np.int64) - lo], "diff": diffs})
+                lo = hi
+
+    return run
+
+
+def _met(rep: np.ndarray, n: np.ndarray, diffs: list[np.ndarray], asked: np.ndarray, percent: int) -> pd.DataFrame:
+    """A spanning forest of the links between asked members and the others of one block.
+
+    Sets that differ from a base in x and y differ from each other in |x| + |y| - 2 * |x and y| shingles.
+    """
+    size = np.array([len(d) for d in diffs], np.int64)
+    owner = np.repeat(np.arange(len(rep)), size)
+    _, code, times = np.unique(np.concatenate(diffs), return_inverse=True, return_counts=True)
+    shared = times[code] > 1
+    owner, code = owner[shared], np.unique(code[shared], return_inverse=True)[1]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    y, x = np.flatnonzero(asked), np.flatnonzero(~asked)
+    both = np.zeros((len(y), len(x)), np.float64)
+    width = 4096
+    for at in range(0, int(code[-1]) + 1 if len(code) else 0, width):
+        lo, hi = np.searchsorted(code, [at, at + width])
+        dense = np.zeros((len(rep), width), np.float32)
+        dense[owner[lo:hi], code[lo:hi] - at] = 1
+        both += dense[y] @ dense[x].T
+    apart = size[y][:, None] + size[x][None] - 2 * both.astype(np.int64)
+    total = n[y][:, None] + n[x][None]
+    i, j = np.nonzero((100 * (total - apart) >= percent * (total + apart)) & (rep[y][:, None] != rep[x][None]))
+    kept = _forest(y[i], x[j], len(rep))
+    return pd.DataFrame({"a": rep[y[i[kept]]], "b": rep[x[j[kept]]]}, dtype="int64")
+
+
+def _against(p: NearParams):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, []
+
+        def close() -> pd.DataFrame:
+            rep, n, diffs, asked = zip(*held, strict=True)
+            return _met(np.array(rep, np.int64), np.array(n, np.int64), [np.asarray(d, np.int64) for d in diffs], np.array(asked, bool), p.percent)
+
+        for b in batches:
+            for *at, rep, n, diff, asked in b.itertuples(index=False, name=None):
+                if at != key and held:
+                    yield close()
+                    held.clear()
+                key = at
+                held.append((rep, n, diff, asked))
+        if held:
+            yield close()
+
+    return run
+
+
+def _rest(state: DataFrame, texts: DataFrame, p: NearParams) -> DataFrame | None:
+    """Links a, b that the blocks of large clusters have not found; None if there are none to look for. ``state``: rep, cluster, own, root.
+
+    What is linked already is mostly one root. The members of other roots are asked
+    against all of their cluster in blocks, each member being sent as its few
+    differences from one base (with the fewest shingles of its own) and not as text.
+    """
+    by_root = state.groupBy("cluster", "root").agg(F.count("*").alias("c"), F.min(F.struct("own", "rep")).alias("base"))
+    open_ = by_root.groupBy("cluster").agg(F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("m"), F.min("base").alias("base"))
+    open_ = open_.select("cluster", "n", F.col("base.rep").alias("base"), F.col("m.root").alias("big"), (F.col("n") - F.col("m.c")).alias("rare")).filter("rare > 0")
+    open_ = stash(open_, "unsettled")
+    if open_.isEmpty():
+        return None
+
+    def blocks(n: str) -> Column:
+        return F.ceil(F.col(n) / p.block).cast("int")
+
+    met = tell(state, open_, ["cluster"], "n", state.count())
+    met = stash(met.select("cluster", "rep", (F.col("rep") == F.col("base")).alias("first"), (F.col("root") != F.col("big")).alias("asked"), blocks("n").alias("xs"), blocks("rare").alias("ys")), "unsettled")
+
+    def mine(n: str) -> Column:
+        return F.pmod(F.xxhash64("rep", F.lit(9)), F.col(n)).cast("int")
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    dealt = met.select("cluster", F.explode(F.when(F.col("first"), F.sequence(F.lit(0), F.col("xs") - 1)).otherwise(F.array(mine("xs")))).alias("block"), "rep", "first")
+    rows = texts.select("rep", "text").join(dealt.hint("merge"), "rep").repartition("cluster", "block").sortWithinPartitions("cluster", "block", F.desc("first"))
+    diffs = stash(rows.select("block", "rep", "first", "text").mapInPandas(_differences(p), "rep long, n long, diff array<long>"), "differences")
+    both = met.join(diffs.hint("merge"), "rep")
+    x = both.select("cluster", every("ys").alias("y"), mine("xs").alias("x"), "rep", "n", "diff", F.lit(False).alias("asked"))
+    y = both.filter("asked").select("cluster", mine("ys").alias("y"), every("xs").alias("x"), "rep", "n", "diff", "asked")
+    rows = x.unionByName(y).repartition("cluster", "y", "x").sortWithinPartitions("cluster", "y", "x")
+    return stash(rows.mapInPandas(_against(p), "a long, b long"), "links")
+
+
+def _links(clusters: DataFrame, texts: DataFrame, p: NearParams) -> DataFrame:
     """Links a, b on full sets that make each cluster's true components."""
     sizes = stash(clusters.groupBy("root").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
     members = tell(clusters, sizes, ["root"], "size", clusters.count()).select(F.col("node").alias("rep"), F.col("root").alias("cluster"), F.ceil(F.col("size") / p.block).cast("int").alias("blocks"))
@@ -365,20 +482,9 @@ def _links(clusters: DataFrame, buckets: DataFrame, sketch: DataFrame, texts: Da
     links = _confirmed(groups.select("cluster", F.explode(block).alias("block"), "rep"), texts, p)
     if own is None:
         return links
-
-    def judge(pairs: DataFrame) -> DataFrame:
-        alike = _alike(pairs, sketch, p)
-        degree = stash(alike.groupBy("a").agg(F.count("*").alias("n")), "degrees")
-        dealt = tell(alike, degree, ["a"], "n", alike.count())
-        dealt = dealt.select(F.col("a").alias("cluster"), F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / p.block)).cast("int").alias("block"), F.col("b").alias("rep"))
-        both = dealt.unionByName(dealt.select("cluster", "block", F.col("cluster").alias("rep")).distinct())
-        return _confirmed(both, texts, p)
-
     roots = components(links).withColumnRenamed("node", "rep")
-    state = stash(large.select("rep", "cluster").join(roots.hint("merge"), "rep", "left").select("rep", "cluster", F.coalesce("root", "rep").alias("root")), "state")
-    open_ = state.groupBy("cluster").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).filter("x <> y")
-    state = tell(state, stash(open_.select("cluster", "n"), "unsettled"), ["cluster"], "n", state.count()).select("rep", "root")
-    more = _settled(buckets.join(state.hint("merge"), "rep").select("key", "rep", "root", F.col("band").alias("last")), sketch, judge, p)
+    state = stash(ranked.join(roots.hint("merge"), "rep", "left").select("rep", "cluster", "own", F.coalesce("root", "rep").alias("root")), "state")
+    more = _rest(state, texts, p)
     return links if more is None else links.unionByName(more)
 
 
@@ -404,7 +510,7 @@ def near_duplicates(docs: DataFrame, params: NearParams | None = None) -> DataFr
     texts = stash(texts.join(sketch.select("rep", "n_shingles").hint("merge"), "rep"), "texts")
     buckets = _alone(buckets.select("key", "rep"), texts, p)[0].withColumn("band", F.pmod("key", F.lit(64)).cast("int"))
     clusters = _clusters(buckets, sketch, p)
-    roots = components(_links(clusters, buckets, sketch, texts, p))
+    roots = components(_links(clusters, texts, p))
 
     classes = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
     classes = stash(classes.join(roots, classes["rep"] == roots["node"], "left").select("k1", "k2", "size", F.coalesce("root", "rep").alias("component_id")), "classes")
