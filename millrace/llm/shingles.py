@@ -52,7 +52,7 @@ def shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
     total = np.zeros(len(hashes), np.uint64)
     for k in range(words):
         step = np.uint64(2 * k + 3)
-        total[: len(hashes) - k] += mix(hashes[k:] * step) if k else hashes * step
+        total[: max(len(hashes) - k, 0)] += mix(hashes[k:] * step) if k else hashes * step
     n = np.maximum(counts - words + 1, 0)
     owner = np.repeat(np.arange(len(texts)), n)
     at = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts, n)
