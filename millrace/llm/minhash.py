@@ -327,7 +327,8 @@ def _alone(buckets: DataFrame, texts: DataFrame, p: NearParams) -> tuple[DataFra
     size = stash(buckets.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > p.wide), "wide")
     if size.isEmpty():
         return buckets, None
-    wide = stash(tell(buckets, size, ["key"], "n", buckets.count()).select("key", "rep"), "wide")
+    # a plain join, as in _open: one pass, and only members of wide buckets leave it
+    wide = stash(buckets.join(size.hint("merge"), "key", "left_semi").select("key", "rep"), "wide")
     inside = texts.join(wide.select("rep").distinct().hint("merge"), "rep")
     rows = inside.mapInPandas(_shingle_rows(p), "h long, rep long")
     single = rows.groupBy("h").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).filter("c = 1")
