@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, digestindex, licenses, linetemplates, minhash, mix, rabitq, suffixdedup, tokencount, toxicity
+from millrace.llm import bpe, digestindex, licenses, linetemplates, minhash, mix, rabitq, resample, suffixdedup, tokencount, toxicity, whitening
 from millrace.registry import table
 
 
@@ -63,6 +63,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"))
 
 
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_token_counts": op2_token_counts,
@@ -74,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_vector_neighbours": op9_vector_neighbours,
     "op10_toxicity": op10_toxicity,
+    "op12_resample": op12_resample,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -83,4 +93,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_suffix_dedup": suffixdedup.REPEATS_SQL,
     "op8_near_duplicates": minhash.NEAR_SQL,
     "op9_vector_neighbours": rabitq.NEAREST_SQL,
+    "op12_resample": resample.RESAMPLE_SQL,
 }
