@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, digestindex, licenses, linetemplates, minhash, mix, rabitq, resample, suffixdedup, tokencount, toxicity, whitening
+from millrace.llm import bpe, digestindex, licenses, linetemplates, minhash, mix, rabitq, resample, setjoin, suffixdedup, tokencount, toxicity, whitening
 from millrace.registry import table
 
 
@@ -63,6 +63,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.similar_sets(table(spark, sf_dir, "documents"))
+
+
 def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_vector_neighbours": op9_vector_neighbours,
     "op10_toxicity": op10_toxicity,
+    "op11_jaccard_join": op11_jaccard_join,
     "op12_resample": op12_resample,
     "op13_whitening": op13_whitening,
 }
@@ -93,5 +98,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_suffix_dedup": suffixdedup.REPEATS_SQL,
     "op8_near_duplicates": minhash.NEAR_SQL,
     "op9_vector_neighbours": rabitq.NEAREST_SQL,
+    "op11_jaccard_join": setjoin.JOIN_SQL,
     "op12_resample": resample.RESAMPLE_SQL,
 }
