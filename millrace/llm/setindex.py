@@ -1,12 +1,16 @@
-"""Documents as sets of word shingles: classes of equal sets, an index of tokens, and which sets can be linked with nothing.
-
-A token is a shingle's hash. Sets of at most ``SMALL`` shingles are indexed by all
-of theirs, larger ones by those in a share of the hash space, which is the same
-for every set; sets near the border are indexed both ways, as entries of two
-universes (the token's lowest bit tells which), so that two sets similar enough
-to be linked always have a universe in common. A linked set lacks at most
-``e = (100 - percent) * n / 100`` of its n shingles in its partner, and no more than
-e of its indexed ones: this holds in any part of the hash space.
+"""Documents as sets of word shingles: classes of equal sets, what can be linked with nothing, and an index of tokens for the rest.
+
+A token is a shingle's hash. A linked set lacks at most ``e = (100 - percent) * n / 100``
+of its n shingles in its partner; this holds in any part of the hash space.
+
+1. *Alone.* Of every document, tokens of a part of the hash space are counted by
+   the classes that have them. Where more than e are in one class only, it is
+   linked with nothing; most documents leave so, and only the others' texts go on.
+2. *Entries.* Those that are left are indexed: sets of at most ``SMALL`` shingles by
+   all of theirs, larger ones by a share of the hash space, the same for every set;
+   sets near the border both ways, as entries of two universes (a token's lowest
+   bit tells which), so that linked sets always have a universe in common. The
+   count is repeated there, among themselves.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import stash, tell, text_or_empty
@@ -24,54 +28,47 @@ from millrace.llm.shingles import mix, shingles
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SMALL = 512  # shingles of a set that is indexed whole
+Bands = Callable[[np.ndarray, np.ndarray], list]
 
-Extra = Callable[[np.ndarray, np.ndarray], list]
+def _batches(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about 2 MB."""
+    lo = 0
+    while lo < len(texts):
+        hi, size = lo, 0
+        while hi < len(texts) and size < 2 << 20:
+            size += len(texts[hi])
+            hi += 1
+        yield lo, hi
+        lo = hi
 
 
-def _features(words: int, percent: int, share: float, extra: Extra | None):
+def _below(share: float) -> np.uint64:
+    return np.uint64(min(int(share * 2**64), 2**64 - 1))
+
+
+def sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """row, doc_id, th (a hash of the text), n, k1, k2 (digests of the set), few (tokens of a part of the hash space) of rows with a doc_id."""
+    share = min(1.0, 1.6 * (1 - percent / 100) + 0.01)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        below = np.uint64(min(int(share * 2**64), 2**64 - 1))
         for b in batches:
             texts = [t.encode("utf-8", "surrogatepass") for t in b["text"]]
-            lo = 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and size < 2 << 20:
-                    size += len(texts[hi])
-                    hi += 1
+            for lo, hi in _batches(texts):
                 value, n = shingles(texts[lo:hi], words)
                 end = np.cumsum(n)
                 sums = []
                 for salt in (1, 2):
                     total = np.concatenate([[np.uint64(0)], np.cumsum(mix(value * np.uint64(2 * salt + 1) + np.uint64(salt)), dtype=np.uint64)])
                     sums.append((total[end] - total[end - n]).view(np.int64))
-                code = (value & ~np.uint64(1)).view(np.int64)
-                small, large = [], []
-                for e, k in zip(end.tolist(), n.tolist(), strict=True):
-                    own = code[e - k : e]
-                    small.append(own if 0 < k <= SMALL else None)
-                    large.append(own[: np.searchsorted(value[e - k : e], below, "right" if share >= 1 else "left")] | 1 if 100 * k > percent * SMALL else None)
-                out = {"doc_id": b["doc_id"].iloc[lo:hi].astype("int64").to_numpy(), "th": b["th"].iloc[lo:hi].to_numpy(), "n": n, "k1": sums[0], "k2": sums[1], "small": small, "large": large}
-                if extra is not None:
-                    out["bands"] = extra(value, n)
-                yield pd.DataFrame(out)
-                lo = hi
-
-    return run
+                few = [value[e - k : e] for e, k in zip(end.tolist(), n.tolist(), strict=True)]
+                few = [v[: np.searchsorted(v, _below(share))].view(np.int64) for v in few]
+                same = {c: b[c].iloc[lo:hi].astype("int64").to_numpy() for c in ("doc_id", "th")}
+                yield pd.DataFrame({**same, "n": n, "k1": sums[0], "k2": sums[1], "few": few})
 
-
-def sets(docs: DataFrame, words: int, percent: int, extra: Extra | None = None) -> DataFrame:
-    """row, doc_id, th (a hash of the text), n, k1, k2 (digests of the set), small, large (tokens by universe) of rows with a doc_id; ``extra`` adds bands."""
     rows = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", text_or_empty().alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    kinds = "doc_id long, th long, n long, k1 long, k2 long, small array<long>, large array<long>" + (", bands array<long>" if extra else "")
-    for share in (2 - percent / 50, 1.0):
-        found = rows.mapInPandas(_features(words, percent, share, extra), kinds)
-        found = stash(found.withColumn("row", F.monotonically_increasing_id()), "sets")
-        # a set whose indexed tokens may all be missing elsewhere: never seen, as its share would be halved by chance
-        if share >= 1 or found.filter(F.size("large") * 100 <= (100 - percent) * F.col("n")).isEmpty():
-            return found
-    raise AssertionError
+    found = rows.mapInPandas(run, "doc_id long, th long, n long, k1 long, k2 long, few array<long>")
+    return stash(found.withColumn("row", F.monotonically_increasing_id()), "sets")
 
 
 def classes_of(found: DataFrame) -> DataFrame:
@@ -81,33 +78,59 @@ def classes_of(found: DataFrame) -> DataFrame:
 
 
 def _lonely(tokens: DataFrame, name: str) -> DataFrame:
-    """name, uni, own: how many tokens of a universe only ``name`` has; ``tokens``: name, h."""
-    by = tokens.groupBy("h").agg(F.min(name).alias("x"), F.max(name).alias("y")).filter("x = y")
-    return by.groupBy(F.col("x").alias(name), F.col("h").bitwiseAND(F.lit(1)).cast("int").alias("uni")).agg(F.count("*").alias("own"))
-
-
-def entries(found: DataFrame, classes: DataFrame, percent: int, *more: str) -> DataFrame:
-    """row, uni, n, tokens, own of the classes that can be linked with anything, by universe; and the columns ``more`` of ``found``."""
-    every = F.concat(*[F.coalesce(c, F.array().cast("array<long>")) for c in ("small", "large")])
-    own = _lonely(found.select("k1", F.explode(every).alias("h")), "k1")
-    both = F.array(F.when(F.col("n") <= SMALL, 0), F.when(F.col("n") * 100 > percent * SMALL, 1))
-    asked = classes.select("row", "k1", "n", F.explode(F.array_compact(both)).alias("uni")).join(own.hint("merge"), ["k1", "uni"], "left")
-    few = F.coalesce("own", F.lit(0)) * 100 <= (100 - percent) * F.col("n")
-    able = stash(asked.filter(few).select("row", "uni"), "able")
-    kinds = F.array(F.struct(F.lit(0).alias("uni"), F.col("small").alias("tokens")), F.struct(F.lit(1).alias("uni"), F.col("large").alias("tokens")))
-    flat = found.select("row", "n", F.explode(F.filter(kinds, lambda x: x["tokens"].isNotNull())).alias("u"), *more).select("row", "n", "u.*", *more)
-    flat = stash(flat.join(able.hint("merge"), ["row", "uni"], "left_semi"), "entries")
-    # once more among those that are left
-    own = stash(_lonely(flat.select("row", F.explode("tokens").alias("h")), "row"), "own")
-    return flat.join(own.hint("merge"), ["row", "uni"], "left").withColumn("own", F.coalesce("own", F.lit(0))).filter(few)
-
-
-def texts_of(docs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
-    """rep, text of the classes in ``rows`` (rep)."""
-    wanted = stash(classes.select(F.col("row").alias("rep"), "doc_id", "th").join(rows.hint("merge"), "rep", "left_semi"), "wanted")
+    """x, h of the tokens h that only one ``name`` (x) has; ``tokens``: name, h."""
+    return tokens.groupBy("h").agg(F.min(name).alias("x"), F.max(name).alias("y")).filter("x = y").select("x", "h")
+
+
+def _few(percent: int) -> Column:
+    return F.coalesce("own", F.lit(0)) * 100 <= (100 - percent) * F.col("n")
+
+
+def texts_of(docs: DataFrame, found: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """rep (a class's row), n, text of the classes that may be linked with anything."""
+    own = _lonely(found.select("k1", F.explode("few").alias("h")), "k1").groupBy(F.col("x").alias("k1")).agg(F.count("*").alias("own"))
+    able = classes.select(F.col("row").alias("rep"), "k1", "doc_id", "th", "n").join(own.hint("merge"), "k1", "left").filter(_few(percent))
+    able = stash(able.select("rep", "doc_id", "th", "n"), "able")
     there = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", text_or_empty().alias("text")).select("doc_id", F.xxhash64("text").alias("th"), "text")
     # both sides grow with the table: texts are exchanged, once; repeated rows meet in the join's partition
-    return stash(there.join(wanted.hint("merge"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("rep", "text"), "texts")
+    return stash(there.join(able.hint("merge"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("rep", "n", "text"), "texts")
+
+
+def _tokens(words: int, percent: int, share: float, bands: Bands | None):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts = [t.encode("utf-8", "surrogatepass") for t in b["text"]]
+            for lo, hi in _batches(texts):
+                value, n = shingles(texts[lo:hi], words)
+                code = (value & ~np.uint64(1)).view(np.int64)
+                small, large, end = [], [], np.cumsum(n).tolist()
+                for e, k in zip(end, n.tolist(), strict=True):
+                    own = code[e - k : e]
+                    small.append(own if k <= SMALL else None)
+                    large.append(own[: k if share >= 1 else np.searchsorted(value[e - k : e], _below(share))] | 1 if 100 * k > percent * SMALL else None)
+                out = {"row": b["rep"].iloc[lo:hi].to_numpy(np.int64), "n": n, "small": small, "large": large}
+                if bands is not None:
+                    out["bands"] = bands(value, n)
+                yield pd.DataFrame(out)
+
+    return run
+
+
+def entries(texts: DataFrame, words: int, percent: int, bands: Bands | None = None) -> DataFrame:
+    """row, uni, n, tokens, own (how many of the tokens no other has) of the classes that may be linked with anything; with ``bands`` also bands."""
+    kinds = "row long, n long, small array<long>, large array<long>" + (", bands array<long>" if bands else "")
+    more = ["bands"] if bands else []
+    for share in (2 - percent / 50, 1.0):
+        found = stash(texts.mapInPandas(_tokens(words, percent, share, bands), kinds), "tokens")
+        # a set whose indexed tokens may all be missing elsewhere: never seen, as its share would be halved by chance
+        if share >= 1 or found.filter(F.size("large") * 100 <= (100 - percent) * F.col("n")).isEmpty():
+            break
+    universes = F.array(F.struct(F.lit(0).alias("uni"), F.col("small").alias("tokens")), F.struct(F.lit(1).alias("uni"), F.col("large").alias("tokens")))
+    flat = found.select("row", "n", F.explode(F.filter(universes, lambda x: x["tokens"].isNotNull())).alias("u"), *more).select("row", "n", "u.*", *more)
+    alone = _lonely(flat.select("row", F.explode("tokens").alias("h")), "row")
+    own = stash(alone.groupBy(F.col("x").alias("row"), F.col("h").bitwiseAND(F.lit(1)).cast("int").alias("uni")).agg(F.count("*").alias("own")), "own")
+    found = flat.join(own.hint("merge"), ["row", "uni"], "left").filter(_few(percent)).withColumn("own", F.coalesce("own", F.lit(0)))
+    return stash(found, "entries")
 
 
 def _same_id(found: DataFrame, classes: DataFrame) -> DataFrame | None:

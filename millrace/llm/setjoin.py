@@ -1,11 +1,10 @@
 """N-gram Jaccard join by set relations: skipping within the lists of an index, and answers derived from similar sets' answers.
 
 1. *Index.* Documents with equal sets are one class. A class is indexed by its
-   tokens (``setindex``), rare ones first: a token is placed by the number of
+   tokens (``setindex``, which first drops what is linked with nothing), rare ones first: a token is placed by the number of
    classes that have it, then by its hash. A linked set lacks at most e of its
    shingles in its partner, so the first token that both have stands among the
-   first e + 1 of either; only these make lists. Classes of which more than e
-   tokens are no other's are linked with nothing and leave before.
+   first e + 1 of either; only these make lists.
 2. *Skip.* A token's list is cut into blocks by the size of the sets, and a block
    is ordered by the token's position in them. All that stands before the first
    common token is in one of the two sets only, so positions i and j in linked sets
@@ -75,14 +74,13 @@ def similar_sets(docs: DataFrame, params: JoinParams | None = None) -> DataFrame
     p = params or JoinParams()
     found = sets(docs, p.words, p.percent)
     classes = classes_of(found)
-    prefix = stash(prefixes(stash(entries(found, classes, p.percent), "open"), p.percent), "prefixes")
+    texts = texts_of(docs, found, classes, p.percent)
+    prefix = stash(prefixes(entries(texts, p.words, p.percent), p.percent), "prefixes")
     edges = candidates(prefix, p.percent)
     links = None
     if not edges.isEmpty():
-        clusters = stash(components(edges), "clusters")
-        texts = texts_of(docs, classes, clusters.select(F.col("node").alias("rep")))
         own = stash(prefix.groupBy(F.col("row").alias("rep")).agg(F.min("own").alias("own")), "own")
-        links = setlinks.links(clusters, own, texts, p)
+        links = setlinks.links(stash(components(edges), "clusters"), own, texts, p)
     return labelled(found, classes, links).unionByName(nameless(docs, p.words))
 
 

@@ -85,6 +85,7 @@ def test_lists_make_no_pairs(spark):
         rng = random.Random(6)
         docs = spark.createDataFrame([(i, t) for i, t in near_copies(rng, 200, n, 12, 30, 0)], "doc_id long, text string")
         found = setindex.sets(docs, 4, 85)
-        prefix = setjoin.prefixes(setindex.entries(found, setindex.classes_of(found), 85), 85).cache()
+        texts = setindex.texts_of(docs, found, setindex.classes_of(found), 85)
+        prefix = setjoin.prefixes(setindex.entries(texts, 4, 85), 85).cache()
         sizes[n] = (prefix.count(), setjoin.candidates(prefix, 85).count())
     assert all(b <= 2.6 * a for a, b in zip(sizes[200], sizes[400], strict=True))
