@@ -1,59 +1,39 @@
 """Near-duplicate documents: fast similarity sketches, banding, exact verification.
 
-1. *Sketch.* One pass gives every document its distinct word shingles (64-bit
-   hashes), a digest of that set and a sketch of ``bands * rows`` coordinates.
-   Documents with equal sets are one class; its smallest doc_id speaks for it.
-2. *Band.* Classes that agree on all rows of a band share a bucket. A pair at
-   the threshold shares none with probability (1 - 0.8**7)**60 < 1e-6.
-3. *Prune.* What a document's shingles that no other document of a wide bucket
-   has leave of its similarity to any is bounded; where the bound, given the
-   sizes in a bucket, is below the threshold, the document leaves the bucket.
-4. *Cluster.* Links must not be lost, and pairs of a bucket must not be listed.
-   Of each bucket a few members of its rarer clusters (``pivots``) are compared
-   by sketch with the members of other clusters; whoever might be linked joins
-   the pivot's cluster, and pivots leave the bucket. A bucket that one cluster
-   fills is dropped, so a group of near copies is done after a comparison or two
-   for each member. A bucket that stays wide holds documents unlike each other
-   (with a common passage); its members are dealt anew by one more band each,
-   as linked pairs meet there again. This goes on until no bucket is open.
-5. *Verify.* A cluster's texts meet in one task, where links are decided on full
-   sets. A larger cluster is dealt into blocks, each with the same few members
-   beside its own (those with the fewest shingles that no other has), so that a
-   text is sent once and blocks are linked through what they share. A task
-   returns a spanning forest of its links.
-6. *Rest.* Where that leaves a large cluster in several components, members
-   outside the largest are asked against all of it in blocks, on full sets again,
-   but as differences from one member: near copies differ in few shingles, so
-   what is copied into several blocks is short. Components of all these forests
-   are the answer.
+1. *Prune.* Documents with equal sets of word shingles are one class. Classes of
+   which more shingles than a link allows are in no other are linked with nothing
+   and leave (``setindex``); only the others' texts go on.
+2. *Sketch.* Each of these gets a fast similarity sketch of ``bands * rows``
+   coordinates: rounds of hashed bin placement that fill every coordinate.
+3. *Band.* Classes that agree on all rows of a band share a bucket. A pair at the
+   threshold shares none with probability (1 - 0.8**7)**60 < 1e-6. A bucket is a
+   star around its smallest row, never pairs; components of the stars are clusters
+   that hold every link, whatever a bucket's size.
+4. *Verify.* Within clusters links are decided on full sets, in blocks
+   (``setlinks``). Components of these links are the answer.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with
 nothing; texts of fewer words than a shingle have one; rows repeated under one
-doc_id are one document with all their links in ``near_duplicates``, while
-``kept_rows`` tells its rows apart by doc_id and text and takes null doc_ids as
-the largest; a null doc_id is linked with nothing and kept in
-``near_duplicates``; an empty table gives an empty result; other columns are
-ignored.
+doc_id are one document with all their links in ``near_duplicates``, also where
+their texts are unlike, while ``kept_rows`` tells its rows apart by doc_id and text
+and takes null doc_ids as the largest; a null doc_id is linked with nothing and
+kept in ``near_duplicates``; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import numbered, stash, tell, text_or_empty, whole
+from millrace.llm import setlinks
+from millrace.llm.common import numbered, stash, text_or_empty, whole
 from millrace.llm.components import components
-from millrace.llm.shingles import mix, shingles, sketches
-
-
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+from millrace.llm.setindex import classes_of, entries, labelled, nameless, sets, texts_of
+from millrace.llm.shingles import mix, sketches
 
 
 @dataclass(frozen=True)
@@ -62,470 +42,45 @@ class NearParams:
     percent: int = 80  # 100 * intersection >= percent * union
     bands: int = 60
     rows: int = 7
-    first_bands: int = 8  # one round of these comes before the rest is looked at
-    pair: float = 0.68  # sketch agreement that a pair at the threshold exceeds (six deviations below 0.8)
-    wide: int = 32  # members of a bucket, without its largest root's, above which it is dealt anew
-    again: int = 20  # bands that it is dealt by; a pair at the threshold meets in none with a probability of 4e-5
-    depth: int = 2  # times that it may be
     block: int = 256  # texts in a task
     shared: int = 8  # members of a large cluster that all its blocks have
 
 
-def _features(p: NearParams):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = [t.encode("utf-8", "surrogatepass") for t in b["text"]]
-            lo = 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and size < 2 << 20:
-                    size += len(texts[hi])
-                    hi += 1
-                value, n = shingles(texts[lo:hi], p.words)
-                sketch = sketches(value, n, p.bands * p.rows)
-                end = np.cumsum(n)
-                sums = []
-                for salt in (1, 2):
-                    total = np.concatenate([[np.uint64(0)], np.cumsum(mix(value * np.uint64(2 * salt + 1) + np.uint64(salt)), dtype=np.uint64)])
-                    sums.append((total[end] - total[end - n]).view(np.int64))
-                rows = mix(sketch).reshape(hi - lo, p.bands, p.rows)
-                band = np.zeros((hi - lo, p.bands), np.uint64)
-                for r in range(p.rows):
-                    band = mix(band + rows[:, :, r])
-                band = (band & ~np.uint64(63)) | np.arange(p.bands, dtype=np.uint64)
-                low = (mix(sketch) >> np.uint64(56)).astype(np.uint8)
-                yield pd.DataFrame(
-                    {
-                        "doc_id": b["doc_id"].iloc[lo:hi].astype("int64").to_numpy(), "n_shingles": n, "k1": sums[0], "k2": sums[1],
-                        "bands": list(band.view(np.int64)), "sketch": [x.tobytes() for x in low],
-                    }
-                )
-                lo = hi
-
-    return run
-
-
-def _agreement(size: int):
-    @F.pandas_udf("double")
-    def same(a: pd.Series, b: pd.Series) -> pd.Series:
-        x = np.frombuffer(b"".join(a), np.uint8).reshape(len(a), -1)
-        y = np.frombuffer(b"".join(b), np.uint8).reshape(len(b), -1)
-        return pd.Series((x == y).mean(axis=1) if len(a) else [], dtype=float)
-
-    return same
-
-
-def _alike(pairs: DataFrame, sketch: DataFrame, p: NearParams) -> DataFrame:
-    """Those of the pairs a, b (distinct ones) that may be linked, by sketch; adaptive execution splits the pairs of a pivot that has very many."""
-    same = _agreement(p.bands * p.rows)
-    with_a = pairs.select("a", "b").join(sketch.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")).hint("merge"), "a")
-    both = with_a.join(sketch.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")).hint("merge"), "b")
-    return stash(both.select("a", "b", same("sa", "sb").alias("est")).filter(F.col("est") >= p.pair).select("a", "b"), "alike")
-
-
-def _open(active: DataFrame) -> tuple[DataFrame, int]:
-    """Members of the buckets that more than one root shares, with the bucket's size, its largest root and the number of other members; and how many there are."""
-    by_root = active.groupBy("key", "root").agg(F.count("*").alias("c"))
-    state = by_root.groupBy("key").agg(F.sum("c").alias("n"), F.count("*").alias("roots"), F.max(F.struct("c", "root")).alias("m"))
-    state = state.filter("roots > 1").select("key", "n", F.col("m.root").alias("big"), (F.col("n") - F.col("m.c")).alias("rare"))
-    state = stash(state, "open")
-    # a plain join: adaptive execution splits large buckets, and only members of shared buckets leave it
-    found = stash(active.join(state.hint("merge"), "key"), "active")
-    return found, found.count()
-
-
-def _pairs(active: DataFrame, total: int, slot: Column) -> tuple[DataFrame, DataFrame]:
-    """Of each bucket's members that aren't of its largest root one pivot for each ``slot``, and the pivots' pairs (a, b, ra, rb) with members of other roots."""
-    minor = active.filter(F.col("root") != F.col("big"))
-    minor = minor.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("rep", "root")).alias("pivot"), F.max("n").alias("n"))
-    chosen = stash(minor.groupBy("key").agg(F.collect_list("pivot").alias("pivots"), F.max("n").alias("n")), "pivots")
-    met = tell(active.drop("n"), chosen, ["key"], "n", total).select("rep", "root", F.explode("pivots").alias("pivot"))
-    met = met.filter(F.col("root") != F.col("pivot.root"))
-    a, b = F.struct("pivot.rep", "pivot.root"), F.struct("rep", "root")
-    pairs = met.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).distinct()
-    pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb"))
-    return chosen.select("key", F.explode("pivots.rep").alias("rep")), stash(pairs, "met")
-
-
-def _narrowed(active: DataFrame, total: int, sketch: DataFrame, p: NearParams) -> tuple[DataFrame, int]:
-    """Open buckets, the wide ones dealt anew by one more band each until none is wide or ``depth`` is reached."""
-    for _ in range(p.depth):
-        wide = active.filter(F.col("rare") > p.wide)
-        if not total or wide.isEmpty():
-            break
-        each = wide.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(p.again)))).join(sketch.hint("merge"), "rep")
-        band = F.pmod(F.col("last") + F.col("step"), F.lit(p.bands))
-        key = F.xxhash64("key", F.substring("sketch", band * p.rows + 1, F.lit(p.rows)))
-        anew = each.select(key.alias("key"), "rep", "root", band.cast("int").alias("last"))
-        active, total = _open(stash(active.filter(F.col("rare") <= p.wide).select("key", "rep", "root", "last").unionByName(anew), "active"))
-    return active, total
-
-
-def _settled(active: DataFrame, sketch: DataFrame, judge: Callable[[DataFrame], DataFrame], p: NearParams) -> DataFrame | None:
-    """Edges a, b that join all linked members of a bucket; None if there are none.
-
-    ``active``: key, rep, root, last (the band that the key ends with). ``judge``
-    takes pairs a, b and returns edges. A bucket that isn't wide is done at
-    once, its members of rarer roots being pivots; one that stays wide has
-    ``wide`` pivots in each round.
-    """
-    edges = None
-    active, total = _narrowed(*_open(stash(active, "active")), sketch, p)
-    while total:
-        slot = F.when(F.col("rare") <= p.wide, F.col("rep")).otherwise(F.pmod(F.xxhash64("rep"), F.lit(p.wide)))
-        pivots, pairs = _pairs(active, total, slot)
-        new = judge(pairs.select("a", "b"))
-        edges = new if edges is None else edges.unionByName(new)
-        active = active.filter(F.col("rare") > p.wide)
-        if active.isEmpty():
-            break
-        known = pairs.select("a", F.col("ra").alias("b")).unionByName(pairs.select(F.col("b").alias("a"), F.col("rb").alias("b")))
-        merged = components(new.unionByName(known.distinct()))
-        old = active.groupBy("root").agg(F.count("*").alias("_n")).join(merged.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root")
-        left = active.join(pivots.hint("merge"), ["key", "rep"], "left_anti").select("key", "rep", "root", "last")
-        left = tell(stash(left, "active"), stash(old.filter("root <> _to"), "moved"), ["root"], "_n", total, "left")
-        active, total = _open(stash(left.select("key", "rep", F.coalesce("_to", "root").alias("root"), "last"), "active"))
-    return edges
-
-
-def _clusters(buckets: DataFrame, sketch: DataFrame, p: NearParams) -> DataFrame:
-    """node, root over class representatives; linked ones share a root. ``buckets``: key, rep, band."""
-
-    def judge(pairs: DataFrame) -> DataFrame:
-        return _alike(pairs, sketch, p)
-
-    members = buckets.select("key", "rep", F.col("band").alias("last"))
-    active, total = _open(stash(members.filter(F.col("last") < p.first_bands).withColumn("root", F.col("rep")), "active"))
-    edges = judge(_pairs(active, total, F.lit(0))[1]) if total else None
-    if edges is not None:
-        roots = stash(components(edges), "roots")
-        members = members.join(roots.hint("merge"), members["rep"] == roots["node"], "left").select("key", "rep", F.coalesce("root", "rep").alias("root"), "last")
-    else:
-        members = members.withColumn("root", F.col("rep"))
-    more = _settled(members, sketch, judge, p)
-    none = buckets.sparkSession.createDataFrame([], "a long, b long")
-    return stash(components(reduce(DataFrame.unionByName, [x for x in (edges, more) if x is not None], none)), "clusters")
-
-
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[int]:
-    """Positions of edges that form a spanning forest."""
-    root = list(range(n))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    out = []
-    for e, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        i, j = find(i), find(j)
-        if i != j:
-            root[i] = j
-            out.append(e)
-    return out
-
-
-def _linked(value: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of sets with 100 * intersection >= percent * union."""
-    k = len(n)
-    end = np.cumsum(n)
-    if k <= 6:
-        sets = [value[e - c : e] for e, c in zip(end, n, strict=True)]
-        pairs = [(i, j) for i in range(k) for j in range(i)]
-        both = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in pairs], np.int64)
-        i, j = np.array(pairs, np.int64).T if pairs else (np.empty(0, np.int64), np.empty(0, np.int64))
-    else:
-        owner = np.repeat(np.arange(k), n)
-        _, code, times = np.unique(value, return_inverse=True, return_counts=True)
-        shared = times[code] > 1  # shingles of one text only add to no intersection
-        owner, code = owner[shared], np.unique(code[shared], return_inverse=True)[1]
-        order = np.argsort(code, kind="stable")
-        owner, code = owner[order], code[order]
-        both = np.zeros((k, k), np.float64)
-        width = 4096
-        for at in range(0, int(code[-1]) + 1 if len(code) else 0, width):
-            lo, hi = np.searchsorted(code, [at, at + width])
-            dense = np.zeros((k, width), np.float32)
-            dense[owner[lo:hi], code[lo:hi] - at] = 1
-            both += dense @ dense.T
-        i, j = np.tril_indices(k, -1)
-        both = both[i, j].astype(np.int64)
-    ok = (100 * both >= percent * (n[i] + n[j] - both)) & (n[i] > 0) & (n[j] > 0)
-    return i[ok], j[ok]
-
-
-def _verify(p: NearParams):
-    def linked(tasks: list[tuple], texts: list[bytes]) -> Iterator[tuple[int, int]]:
-        value, n = shingles(texts, p.words)
-        end, lo = np.cumsum(n), 0
-        for size, reps in tasks:
-            own = n[lo : lo + size]
-            start = end[lo] - n[lo] if size else 0
-            a, b = _linked(value[start : start + own.sum()], own, p.percent)
-            for e in _forest(a, b, size):
-                yield reps[a[e]], reps[b[e]]
-            lo += size
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tasks, texts, size = [], [], 0
-        key, reps = None, []
-
-        def close() -> None:
-            if reps:
-                tasks.append((len(reps), list(reps)))
-
-        for b in batches:
-            rows = zip(b["cluster"].tolist(), b["block"].tolist(), b["rep"].tolist(), b["text"], strict=True)
-            for cluster, block, rep, text in rows:
-                if key != (cluster, block):
-                    close()
-                    reps.clear()
-                    if size > 4 << 20:
-                        yield pd.DataFrame(list(linked(tasks, texts)), columns=["a", "b"], dtype="int64")
-                        tasks, texts, size = [], [], 0
-                    key = (cluster, block)
-                reps.append(rep)
-                texts.append(text.encode("utf-8", "surrogatepass"))
-                size += len(texts[-1])
-        close()
-        yield pd.DataFrame(list(linked(tasks, texts)), columns=["a", "b"], dtype="int64")
-
-    return run
-
-
-def _confirmed(groups: DataFrame, texts: DataFrame, p: NearParams) -> DataFrame:
-    """Links a, b (a spanning forest of them) on full sets within each cluster and block of ``groups`` (cluster, block, rep)."""
-    met = texts.select("rep", "text").join(groups.hint("merge"), "rep").select("cluster", "block", "rep", "text")
-    met = met.repartition("cluster", "block").sortWithinPartitions("cluster", "block")
-    return stash(met.mapInPandas(_verify(p), "a long, b long"), "links")
-
-
-def _shingle_rows(p: NearParams):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = [t.encode("utf-8", "surrogatepass") for t in b["text"]]
-            lo = 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and size < 2 << 20:
-                    size += len(texts[hi])
-                    hi += 1
-                value, n = shingles(texts[lo:hi], p.words)
-                yield pd.DataFrame({"h": value.view(np.int64), "rep": np.repeat(b["rep"].iloc[lo:hi].to_numpy(np.int64), n)})
-                lo = hi
-
-    return run
-
-
-def _alone(buckets: DataFrame, texts: DataFrame, p: NearParams) -> tuple[DataFrame, DataFrame | None]:
-    """``buckets`` (key, rep) without documents that are linked with nothing in them, and rep, own: shingles of a document of a wide bucket that no other such has.
-
-    A linked document can't have more shingles than the common ones allow, so where
-    a bucket has none of the sizes that are left, a document goes.
-    """
-    size = stash(buckets.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > p.wide), "wide")
-    if size.isEmpty():
-        return buckets, None
-    # a plain join, as in _open: one pass, and only members of wide buckets leave it
-    wide = stash(buckets.join(size.hint("merge"), "key", "left_semi").select("key", "rep"), "wide")
-    inside = texts.join(wide.select("rep").distinct().hint("merge"), "rep")
-    rows = inside.mapInPandas(_shingle_rows(p), "h long, rep long")
-    single = rows.groupBy("h").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).filter("c = 1")
-    own = stash(single.groupBy("rep").agg(F.count("*").alias("own")), "own")
-    sized = texts.select("rep", "n_shingles").join(own.hint("merge"), "rep", "left")
-    sized = stash(wide.join(sized.withColumn("own", F.coalesce("own", F.lit(0))).hint("merge"), "rep"), "sized")
-    # y with |y| shingles shares at most m = |x| - own with x, so it has from t |x| to m / t + m - |x| of them
-    t, m = p.percent / 100, F.col("n_shingles") - F.col("own")
-
-    def step(n: Column) -> Column:
-        return F.floor(F.log(F.greatest(n.cast("double"), F.lit(1.0))) / math.log(1.02)).cast("int")
-
-    most = m / F.lit(t) + m - F.col("n_shingles")
-    asked = sized.filter(most < F.col("n_shingles")).withColumn("lo", step(F.col("n_shingles") * t - 1e-6)).withColumn("hi", step(most + 1e-6))
-    asked = stash(asked.select("key", "rep", F.when(F.col("lo") <= F.col("hi"), F.sequence("lo", "hi")).otherwise(F.array().cast("array<int>")).alias("steps")), "asked")
-    there = stash(sized.select("key", step(F.col("n_shingles")).alias("step")).distinct(), "sizes")
-    some = asked.select("key", "rep", F.explode("steps").alias("step")).join(there.hint("merge"), ["key", "step"], "left_semi")
-    gone = asked.join(some.select("key", "rep").distinct().hint("merge"), ["key", "rep"], "left_anti").select("key", "rep")
-    return stash(buckets.join(gone.hint("merge"), ["key", "rep"], "left_anti"), "buckets"), own
-
-
-def _differences(p: NearParams):
-    """rep, n (its shingles), diff (those that it or the base of its cluster has, but not both); the base comes first in each block."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        base = np.empty(0, np.uint64)
-        for b in batches:
-            texts = [t.encode("utf-8", "surrogatepass") for t in b["text"]]
-            rep, first, block = b["rep"].to_numpy(np.int64), b["first"].to_numpy(bool), b["block"].to_numpy(np.int64)
-            lo = 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and size < 2 << 20:
-                    size += len(texts[hi])
-                    hi += 1
-                value, n = shingles(texts[lo:hi], p.words)
-                end = np.cumsum(n)
-                at, diffs = [], []
-                for i in range(lo, hi):
-                    own = value[end[i - lo] - n[i - lo] : end[i - lo]]
-                    if first[i]:
-                        base = own
-                    if not first[i] or block[i] == 0:
-                        at.append(i)
-                        diffs.append(np.setxor1d(base, own, assume_unique=True).view(np.int64))
-                yield pd.DataFrame({"rep": rep[at], "n": n[np.array(at, np.int64) - lo], "diff": diffs})
-                lo = hi
+def _bands(p: NearParams):
+    def run(value: np.ndarray, n: np.ndarray) -> list:
+        """A key for each band of each set's sketch."""
+        rows = mix(sketches(value, n, p.bands * p.rows)).reshape(len(n), p.bands, p.rows)
+        band = np.zeros((len(n), p.bands), np.uint64)
+        for r in range(p.rows):
+            band = mix(band + rows[:, :, r])
+        return list(((band & ~np.uint64(63)) | np.arange(p.bands, dtype=np.uint64)).view(np.int64))
 
     return run
 
 
-def _met(rep: np.ndarray, n: np.ndarray, diffs: list[np.ndarray], asked: np.ndarray, percent: int) -> pd.DataFrame:
-    """A spanning forest of the links between asked members and the others of one block.
-
-    Sets that differ from a base in x and y differ from each other in |x| + |y| - 2 * |x and y| shingles.
-    """
-    size = np.array([len(d) for d in diffs], np.int64)
-    owner = np.repeat(np.arange(len(rep)), size)
-    _, code, times = np.unique(np.concatenate(diffs), return_inverse=True, return_counts=True)
-    shared = times[code] > 1
-    owner, code = owner[shared], np.unique(code[shared], return_inverse=True)[1]
-    order = np.argsort(code, kind="stable")
-    owner, code = owner[order], code[order]
-    y, x = np.flatnonzero(asked), np.flatnonzero(~asked)
-    both = np.zeros((len(y), len(x)), np.float64)
-    width = 4096
-    for at in range(0, int(code[-1]) + 1 if len(code) else 0, width):
-        lo, hi = np.searchsorted(code, [at, at + width])
-        dense = np.zeros((len(rep), width), np.float32)
-        dense[owner[lo:hi], code[lo:hi] - at] = 1
-        both += dense[y] @ dense[x].T
-    apart = size[y][:, None] + size[x][None] - 2 * both.astype(np.int64)
-    total = n[y][:, None] + n[x][None]
-    i, j = np.nonzero((100 * (total - apart) >= percent * (total + apart)) & (rep[y][:, None] != rep[x][None]))
-    kept = _forest(y[i], x[j], len(rep))
-    return pd.DataFrame({"a": rep[y[i[kept]]], "b": rep[x[j[kept]]]}, dtype="int64")
-
-
-def _against(p: NearParams):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held = None, []
-
-        def close() -> pd.DataFrame:
-            rep, n, diffs, asked = zip(*held, strict=True)
-            return _met(np.array(rep, np.int64), np.array(n, np.int64), [np.asarray(d, np.int64) for d in diffs], np.array(asked, bool), p.percent)
-
-        for b in batches:
-            for *at, rep, n, diff, asked in b.itertuples(index=False, name=None):
-                if at != key and held:
-                    yield close()
-                    held.clear()
-                key = at
-                held.append((rep, n, diff, asked))
-        if held:
-            yield close()
-
-    return run
-
-
-def _rest(state: DataFrame, texts: DataFrame, p: NearParams) -> DataFrame | None:
-    """Links a, b that the blocks of large clusters have not found; None if there are none to look for. ``state``: rep, cluster, own, root.
-
-    What is linked already is mostly one root. The members of other roots are asked
-    against all of their cluster in blocks, each member being sent as its few
-    differences from one base (with the fewest shingles of its own) and not as text.
-    """
-    by_root = state.groupBy("cluster", "root").agg(F.count("*").alias("c"), F.min(F.struct("own", "rep")).alias("base"))
-    open_ = by_root.groupBy("cluster").agg(F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("m"), F.min("base").alias("base"))
-    open_ = open_.select("cluster", "n", F.col("base.rep").alias("base"), F.col("m.root").alias("big"), (F.col("n") - F.col("m.c")).alias("rare")).filter("rare > 0")
-    open_ = stash(open_, "unsettled")
-    if open_.isEmpty():
-        return None
-
-    def blocks(n: str) -> Column:
-        return F.ceil(F.col(n) / p.block).cast("int")
-
-    met = tell(state, open_, ["cluster"], "n", state.count())
-    met = stash(met.select("cluster", "rep", (F.col("rep") == F.col("base")).alias("first"), (F.col("root") != F.col("big")).alias("asked"), blocks("n").alias("xs"), blocks("rare").alias("ys")), "unsettled")
-
-    def mine(n: str) -> Column:
-        return F.pmod(F.xxhash64("rep", F.lit(9)), F.col(n)).cast("int")
-
-    def every(n: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-
-    dealt = met.select("cluster", F.explode(F.when(F.col("first"), F.sequence(F.lit(0), F.col("xs") - 1)).otherwise(F.array(mine("xs")))).alias("block"), "rep", "first")
-    rows = texts.select("rep", "text").join(dealt.hint("merge"), "rep").repartition("cluster", "block").sortWithinPartitions("cluster", "block", F.desc("first"))
-    diffs = stash(rows.select("block", "rep", "first", "text").mapInPandas(_differences(p), "rep long, n long, diff array<long>"), "differences")
-    both = met.join(diffs.hint("merge"), "rep")
-    x = both.select("cluster", every("ys").alias("y"), mine("xs").alias("x"), "rep", "n", "diff", F.lit(False).alias("asked"))
-    y = both.filter("asked").select("cluster", mine("ys").alias("y"), every("xs").alias("x"), "rep", "n", "diff", "asked")
-    rows = x.unionByName(y).repartition("cluster", "y", "x").sortWithinPartitions("cluster", "y", "x")
-    return stash(rows.mapInPandas(_against(p), "a long, b long"), "links")
-
-
-def _links(clusters: DataFrame, texts: DataFrame, p: NearParams) -> DataFrame:
-    """Links a, b on full sets that make each cluster's true components."""
-    sizes = stash(clusters.groupBy("root").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
-    members = tell(clusters, sizes, ["root"], "size", clusters.count()).select(F.col("node").alias("rep"), F.col("root").alias("cluster"), F.ceil(F.col("size") / p.block).cast("int").alias("blocks"))
-    members = stash(members, "members")
-    large, own = _alone(members.filter("blocks > 1").select(F.col("cluster").alias("key"), "rep"), texts, p)
-    large = large.select(F.col("key").alias("cluster"), "rep")
-    if own is None:
-        groups = members.withColumn("everywhere", F.lit(False))
-    else:
-        ranked = large.join(own.hint("merge"), "rep", "left").select("cluster", "rep", F.coalesce("own", F.lit(0)).alias("own"))
-        some = ranked.groupBy("cluster", F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(p.shared))).agg(F.min(F.struct("own", "rep"))["rep"].alias("rep"))
-        groups = members.join(members.filter("blocks > 1").select("rep").join(large.select("rep").hint("merge"), "rep", "left_anti").hint("merge"), "rep", "left_anti")
-        groups = groups.join(some.select("rep", F.lit(True).alias("everywhere")).hint("merge"), "rep", "left")
-    mine = F.array(F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    block = F.when(F.col("everywhere"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(mine)
-    links = _confirmed(groups.select("cluster", F.explode(block).alias("block"), "rep"), texts, p)
-    if own is None:
-        return links
-    roots = components(links).withColumnRenamed("node", "rep")
-    state = stash(ranked.join(roots.hint("merge"), "rep", "left").select("rep", "cluster", "own", F.coalesce("root", "rep").alias("root")), "state")
-    more = _rest(state, texts, p)
-    return links if more is None else links.unionByName(more)
+def buckets(open_: DataFrame) -> DataFrame:
+    """Edges a, b from the members of each bucket to its smallest row; ``open_``: row, bands."""
+    keys = open_.select("row", F.explode("bands").alias("key"))
+    centre = keys.groupBy("key").agg(F.min("row").alias("b"), F.max("row").alias("most")).filter("b <> most").select("key", "b")
+    # a plain join of two scans: adaptive execution splits it where one bucket is large
+    met = keys.join(stash(centre, "centres").hint("merge"), "key").filter("row <> b")
+    return stash(met.select(F.col("row").alias("a"), "b").distinct(), "buckets")
 
 
 def near_duplicates(docs: DataFrame, params: NearParams | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     p = params or NearParams()
-    rows = docs.select("doc_id", text_or_empty().alias("text"))
-    known = rows.filter(F.col("doc_id").isNotNull())
-    kinds = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary"
-    sketched = stash(known.mapInPandas(_features(p), kinds), "sketches")
-    full = sketched.filter("n_shingles > 0")
-
-    entries = full.select(F.explode("bands").alias("key"), "k1", "doc_id")
-    shared = stash(entries.groupBy("key").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).filter("x <> y").select("key"), "shared")
-    # a plain join of two scans: adaptive execution splits it where one bucket is large
-    entries = entries.join(shared.hint("merge"), "key", "left_semi").groupBy("key", "k1").agg(F.min("doc_id").alias("rep"))
-    buckets = stash(entries.select("key", "rep", F.pmod("key", F.lit(64)).cast("int").alias("band")), "buckets")
-    reps = stash(buckets.select("rep").distinct(), "names")
-    sketch = full.select(F.col("doc_id").alias("rep"), "n_shingles", "sketch").join(reps.hint("merge"), "rep").dropDuplicates(["rep"])
-    sketch = stash(sketch, "reps")
-    # both sides grow with the table: texts are exchanged, once, and never the list sent around
-    texts = known.withColumnRenamed("doc_id", "rep").join(reps.hint("merge"), "rep")
-    texts = stash(texts.join(sketch.select("rep", "n_shingles").hint("merge"), "rep"), "texts")
-    buckets = _alone(buckets.select("key", "rep"), texts, p)[0].withColumn("band", F.pmod("key", F.lit(64)).cast("int"))
-    clusters = _clusters(buckets, sketch, p)
-    roots = components(_links(clusters, texts, p))
-
-    classes = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
-    classes = stash(classes.join(roots, classes["rep"] == roots["node"], "left").select("k1", "k2", "size", F.coalesce("root", "rep").alias("component_id")), "classes")
-    found = tell(full.select("doc_id", "n_shingles", "k1", "k2"), classes, ["k1", "k2"], "size", full.count())
-    empty = sketched.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    found = found.select("doc_id", "n_shingles", "component_id").unionByName(empty)
-    found = found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    nameless = rows.filter(F.col("doc_id").isNull())
-    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
-    lists = F.split(F.trim(F.regexp_replace(F.translate("text", UPPER, UPPER.lower()), r"[\x20\x09-\x0D]+", " ")), " ")
-    own = F.array_distinct(F.transform(F.sequence(F.lit(1), words - p.words + 1), lambda i: F.slice(lists, i, p.words)))
-    n = F.when(words == 0, 0).when(words < p.words, 1).otherwise(F.size(own)).cast("long")
-    nameless = nameless.select("doc_id", n.alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    return found.unionByName(nameless)
+    found = sets(docs, p.words, p.percent)
+    classes = classes_of(found)
+    texts = texts_of(docs, found, classes, p.percent)
+    open_ = entries(texts, p.words, p.percent, _bands(p))
+    edges = buckets(open_)
+    links = None
+    if not edges.isEmpty():
+        own = stash(open_.groupBy(F.col("row").alias("rep")).agg(F.min("own").alias("own")), "own")
+        links = setlinks.links(stash(components(edges), "clusters"), own, texts, p)
+    all_ = labelled(found, classes, links).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return all_.unionByName(nameless(docs, p.words).withColumn("kept", F.lit(True)))
 
 
 def kept_rows(docs: DataFrame, params: NearParams | None = None) -> DataFrame:

@@ -10,7 +10,8 @@ import pytest
 
 pytest.importorskip("millrace.llm")
 
-from millrace.llm import minhash  # noqa: E402
+from millrace.llm import setlinks  # noqa: E402
+from millrace.llm.minhash import NearParams  # noqa: E402
 from millrace.llm.shingles import shingles  # noqa: E402
 
 
@@ -28,15 +29,15 @@ def near_copies(n: int) -> list[str]:
 
 @pytest.mark.parametrize("base", [0, 1, 2, 9])
 def test_links_from_differences(base):
-    texts, p = near_copies(90), minhash.NearParams()
+    texts, p = near_copies(90), NearParams()
     sets = [set(shingles([t.encode()], p.words)[0].tolist()) for t in texts]
     order = [base, *(i for i in range(len(texts)) if i != base)]
     batch = pd.DataFrame({"block": 0, "rep": order, "first": [i == base for i in order], "text": [texts[i] for i in order]})
-    found = pd.concat(minhash._differences(p)(iter([batch[:50], batch[50:]])))
+    found = pd.concat(setlinks._differences(p)(iter([batch[:50], batch[50:]])))
     assert found["rep"].tolist() == order and found["n"].tolist() == [len(sets[i]) for i in order]
     asked = [i for i in range(len(texts)) if i % 3 == 0]
     both = pd.concat([found.assign(asked=False), found[found["rep"].isin(asked)].assign(asked=True)])
-    links = minhash._met(both["rep"].to_numpy(np.int64), both["n"].to_numpy(np.int64), list(both["diff"]), both["asked"].to_numpy(bool), p.percent)
+    links = setlinks._met(both["rep"].to_numpy(np.int64), both["n"].to_numpy(np.int64), list(both["diff"]), both["asked"].to_numpy(bool), p.percent)
 
     def linked(a: int, b: int) -> bool:
         x, y = sets[a], sets[b]
@@ -55,5 +56,5 @@ def test_links_from_differences(base):
 
 
 def test_blocks_that_hold_one_kind_only():
-    none = minhash._met(np.array([1, 2]), np.array([3, 3]), [np.arange(3), np.arange(3)], np.array([True, True]), 80)
+    none = setlinks._met(np.array([1, 2]), np.array([3, 3]), [np.arange(3), np.arange(3)], np.array([True, True]), 80)
     assert none.empty

@@ -16,7 +16,7 @@ pytest.importorskip("millrace.llm")
 import public_tokenizers  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from millrace.llm import bpe, digestindex, licenses, linetemplates, minhash, mix, rabitq, suffixdedup, tokencount, toxicity  # noqa: E402
+from millrace.llm import bpe, digestindex, licenses, linetemplates, minhash, mix, rabitq, setindex, suffixdedup, tokencount, toxicity  # noqa: E402
 
 SCHEMA = "doc_id long, text string, source string, n int, size string, _row int, score string, `key` string"
 WORDS = ["alpha", "Beta", "gamma", "delta", "été", "the", "of", "x1", "straße", "中文", "😀"]
@@ -467,6 +467,34 @@ def test_near_duplicates(spark, docs, none):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter({None: 1} | {d: 1 for d, v in plain_components([(r[0], r[1]) for r in rows() if r[0] is not None]).items() if v[2]})
 
 
+def test_unlike_texts_of_one_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(3, a), (5, a), (5, b), (7, b + " more"), (9, "")]
+    got = Counter(tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(3, 57, 3, True), (5, 57, 3, False), (5, 57, 3, False), (7, 58, 3, False), (9, 0, 9, True)])
+    kept = minhash.kept_rows(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(tuple(r) for r in kept) == Counter([(3, a), (5, b), (9, "")])
+
+
+def test_wide_buckets_make_no_pairs(spark):
+    """Texts that differ in words of small pools, none linked: rows of every step grow with their number."""
+    sizes = {}
+    for n in (200, 400):
+        rng, base = random.Random(2), [f"w{i}" for i in range(200)]
+        data = []
+        for i in range(n):
+            own = list(base)
+            for k in range(11):
+                own[18 * k + 3] = f"n{k}-{rng.randrange(12)}"
+            data.append((i, " ".join(own)))
+        docs, p = spark.createDataFrame(data, "doc_id long, text string"), minhash.NearParams()
+        found = setindex.sets(docs, p.words, p.percent)
+        texts = setindex.texts_of(docs, found, setindex.classes_of(found), p.percent)
+        open_ = setindex.entries(texts, p.words, p.percent, minhash._bands(p))
+        sizes[n] = (open_.count(), minhash.buckets(open_).count())
+    assert sizes[400][0] and all(b <= 2.6 * a for a, b in zip(sizes[200], sizes[400], strict=True))
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((600, 64)).astype(np.float32)
