@@ -9,6 +9,7 @@ from millrace.config import Settings
 from millrace.functions import text as T
 from millrace.functions.vectors import hashed_embedding
 from millrace.operators import bm25, chunking, dense, figures, fusion, grounding, metrics
+from millrace.operators.containment import containing
 from millrace.operators.rerank import Reranker
 from millrace.registry import table
 
@@ -144,9 +145,13 @@ def _evaluated(spark: SparkSession, sf: str) -> DataFrame:
     got = hits.select("query_id", F.transform("h", lambda x: x["source"]).alias("retrieved"))
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
     docs = table(spark, sf, "documents").filter(F.col("source").isNotNull())
-    holds = docs.join(asked, F.contains(F.col("text"), F.col("passage")))
-    relevant = holds.groupBy("query_id").agg(F.collect_set("source").alias("relevant"))
-    return metrics.retrieval_metrics(got.join(relevant, "query_id"), (1, 3, 5, SETTINGS.top_k_final)).drop("relevant", "retrieved")
+    holds = containing(_spread(docs.select(F.col("doc_id").alias("text_id"), "text")), asked.withColumnRenamed("query_id", "passage_id"))
+    named = holds.join(docs.select(F.col("doc_id").alias("text_id"), "source"), "text_id")
+    relevant = named.groupBy(F.col("passage_id").alias("query_id")).agg(F.collect_set("source").alias("relevant"))
+    got = asked.select("query_id").join(got, "query_id", "left").join(relevant, "query_id", "left")
+    none = F.array().cast("array<string>")
+    got = got.withColumns({"retrieved": F.coalesce("retrieved", none), "relevant": F.coalesce("relevant", none)})
+    return metrics.retrieval_metrics(got, (1, 3, 5, SETTINGS.top_k_final)).drop("relevant", "retrieved")
 
 
 def eval_means(spark: SparkSession, sf: str) -> DataFrame:

@@ -88,12 +88,12 @@ got AS (SELECT query_id, list(source ORDER BY rank) AS retrieved FROM h GROUP BY
 rel AS (SELECT q.item_id AS query_id, list(DISTINCT d.source) AS relevant FROM benchmark q JOIN documents d ON contains(d.text, q.text) AND d.source IS NOT NULL GROUP BY 1),
 ev AS (SELECT query_id, relevant, retrieved, len(relevant) AS n,
               list_min(list_filter(list_transform(retrieved, lambda x, i: CASE WHEN list_contains(relevant, x) THEN i END), lambda i: i IS NOT NULL)) AS first_hit
-       FROM got JOIN rel USING (query_id)),
+       FROM (SELECT item_id AS query_id FROM benchmark) LEFT JOIN got USING (query_id) LEFT JOIN rel USING (query_id)),
 mt AS (SELECT query_id, round_even(len(list_intersect(relevant, retrieved[1:1]))::DOUBLE / n, 3) AS recall_1,
               round_even(len(list_intersect(relevant, retrieved[1:3]))::DOUBLE / n, 3) AS recall_3,
               round_even(len(list_intersect(relevant, retrieved[1:5]))::DOUBLE / n, 3) AS recall_5,
               round_even(len(list_intersect(relevant, retrieved[1:6]))::DOUBLE / n, 3) AS recall_6,
-              round_even(coalesce(1::DOUBLE / first_hit, 0), 3) AS mrr, list_has_any(relevant, retrieved[1:5])::INT::DOUBLE AS hit_rate_5 FROM ev)"""
+              CASE WHEN n > 0 THEN round_even(coalesce(1::DOUBLE / first_hit, 0), 3) END AS mrr, list_has_any(relevant, retrieved[1:5])::INT::DOUBLE AS hit_rate_5 FROM ev)"""
 
 ANSWERS = """WITH a AS (SELECT conv_id, turn, coalesce(text, '') || CASE turn % 5 WHEN 0 THEN ' [1][2].' WHEN 1 THEN ' [9].' WHEN 2 THEN '' WHEN 3 THEN ' [3] and [0], [12] ' ELSE ' [１].' END AS answer FROM conversations),
 d AS (SELECT *, translate(answer, '０１２３４５６７８９', '0123456789') AS plain FROM a),
