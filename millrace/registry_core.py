@@ -11,6 +11,7 @@ from millrace.functions.vectors import hashed_embedding
 from millrace.operators import bm25, chunking, dense, figures, fusion, grounding, metrics
 from millrace.operators.containment import containing
 from millrace.operators.rerank import Reranker
+from millrace.plans import rounds
 from millrace.registry import table
 
 SETTINGS = Settings()
@@ -158,6 +159,23 @@ def eval_means(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.report(_evaluated(spark, sf))
 
 
+def agent_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """The agent over all questions of ``benchmark``; conversation n's turns make the replies to question n."""
+    said = table(spark, sf, "conversations").select(F.col("conv_id").alias("question_id"), F.col("turn").cast("long").alias("call"), F.coalesce("text", F.lit("")).alias("t"))
+    more = F.filter(F.array(F.substring("t", 61, 60)), lambda x: x != "")
+    plan = F.to_json(F.struct(F.substring("t", 1, 60).alias("search_query"), more.alias("sub_queries")))
+    n = F.length("t")
+    ask = F.when(n % 7 == 3, "").otherwise(F.substring("t", 1, 50)).alias("next_query")
+    judge = F.to_json(F.struct((n % 5 == 0).alias("sufficient"), ((n % 100) / 100).alias("confidence"), F.lit("more").alias("gap"), ask))
+    replies = said.select("question_id", "call", F.when(F.col("call") == 0, plan).otherwise(judge).alias("reply"))
+    questions = table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    found = rounds.run(rounds.materialised(_index(spark, sf)), questions, rounds.scripted(replies), SETTINGS)
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda h: h["chunk_id"].cast("string"))
+    hits = found.hits.groupBy("question_id").agg(F.array_join(ids, ",").alias("chunks"))
+    kept = found.stats.select("question_id", "iterations", "llm_calls", "retrieved_total", "note")
+    return kept.join(hits, "question_id", "left")
+
+
 def _answers(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("turn") % 5
     tail = F.when(k == 0, " [1][2].").when(k == 1, " [9].").when(k == 2, "").when(k == 3, " [3] and [0], [12] ").otherwise(" [１].")
@@ -247,6 +265,7 @@ QUERIES = {
     "context_block": context_block,
     "recall_mrr_hit": _evaluated,
     "eval_means": eval_means,
+    "agent_rounds": agent_rounds,
     "citation_validate": citation_validate,
     "citation_abstain": citation_abstain,
     "citation_answer": citation_answer,

@@ -95,6 +95,29 @@ mt AS (SELECT query_id, round_even(len(list_intersect(relevant, retrieved[1:1]))
               round_even(len(list_intersect(relevant, retrieved[1:6]))::DOUBLE / n, 3) AS recall_6,
               CASE WHEN n > 0 THEN round_even(coalesce(1::DOUBLE / first_hit, 0), 3) END AS mrr, list_has_any(relevant, retrieved[1:5])::INT::DOUBLE AS hit_rate_5 FROM ev)"""
 
+#: Queries follow from replies alone, so all that may be asked are retrieved first; which are is a matter of counts.
+ROUNDS_SQL = HITS.replace(" benchmark", " pq").replace("WITH tok AS", """WITH said AS (SELECT b.item_id AS question_id, b.text AS question, c.turn AS call, coalesce(c.text, '') AS t FROM benchmark b JOIN conversations c ON c.conv_id = b.item_id),
+ks AS (SELECT b.item_id AS question_id, b.text AS question, k.k, s.call IS NOT NULL AS there, coalesce(length(s.t) % 5 = 0 OR (length(s.t) % 100) / 100.0 >= 0.8 OR length(s.t) % 7 = 3 OR s.t = '', false) AS enough,
+              CASE WHEN s.call IS NULL THEN b.text ELSE left(s.t, 50) END AS ask
+       FROM benchmark b CROSS JOIN (SELECT unnest([1, 2, 3]) AS k) k LEFT JOIN said s ON s.question_id = b.item_id AND s.call = k.k),
+pq0 AS (SELECT b.item_id AS question_id, 0 AS step, 0 AS place, coalesce(nullif(left(s.t, 60), ''), b.text) AS text FROM benchmark b LEFT JOIN said s ON s.question_id = b.item_id AND s.call = 0
+        UNION ALL SELECT question_id, 0, 1, substr(t, 61, 60) FROM said WHERE call = 0 AND length(t) > 60
+        UNION ALL SELECT question_id, k, 0, ask FROM ks),
+pq AS (SELECT (question_id * 4 + step) * 2 + place AS item_id, * FROM pq0),
+tok AS""", 1) + """,
+hs AS (SELECT question_id, step, step * 64000000 + place * 1000000 + rank AS seen, chunk_id, score FROM h JOIN pq ON pq.item_id = h.query_id),
+fs AS (SELECT question_id, chunk_id, min(step) AS step FROM hs GROUP BY ALL),
+ns AS (SELECT question_id, count(*) FILTER (step <= 0) AS n0, count(*) FILTER (step <= 1) AS n1, count(*) FILTER (step <= 2) AS n2, count(*) AS n3 FROM fs GROUP BY question_id),
+ev AS (SELECT question_id, bool_or(enough) FILTER (k = 1) AS e1, bool_or(enough) FILTER (k = 2) AS e2, bool_or(enough) FILTER (k = 3) AS e3 FROM ks GROUP BY question_id),
+en AS (SELECT *, CASE WHEN e1 THEN 0 WHEN e2 THEN 1 WHEN n2 = n1 AND n1 = n0 OR e3 THEN 2 ELSE 3 END AS last,
+              CASE WHEN e1 THEN 1 WHEN e2 OR n2 = n1 AND n1 = n0 THEN 2 ELSE 3 END AS iterations,
+              CASE WHEN e1 OR e2 THEN '' WHEN n2 = n1 AND n1 = n0 THEN 'no new chunks; stopping' WHEN e3 THEN '' WHEN n3 = n2 AND n2 = n1 THEN 'no new chunks; stopping' ELSE '' END AS note FROM ns JOIN ev USING (question_id)),
+mh AS (SELECT question_id, chunk_id, max(score) AS score, min(seen) AS seen FROM hs JOIN en USING (question_id) WHERE step <= last GROUP BY ALL),
+tp AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, seen) AS rank FROM mh),
+ch AS (SELECT question_id, string_agg(chunk_id, ',' ORDER BY rank) AS chunks FROM tp WHERE rank <= 6 GROUP BY question_id)
+SELECT question_id, iterations::BIGINT AS iterations, (1 + (SELECT sum(CASE WHEN there THEN 1 ELSE 2 END) FROM ks WHERE ks.question_id = en.question_id AND k <= iterations))::BIGINT AS llm_calls,
+       [n0, n1, n2, n3][last + 1] AS retrieved_total, note, chunks FROM en LEFT JOIN ch USING (question_id)"""
+
 ANSWERS = """WITH a AS (SELECT conv_id, turn, coalesce(text, '') || CASE turn % 5 WHEN 0 THEN ' [1][2].' WHEN 1 THEN ' [9].' WHEN 2 THEN '' WHEN 3 THEN ' [3] and [0], [12] ' ELSE ' [１].' END AS answer FROM conversations),
 d AS (SELECT *, translate(answer, '０１２３４５６７８９', '0123456789') AS plain FROM a),
 c AS (SELECT conv_id, turn, answer, list_sort(list_distinct(list_transform(regexp_extract_all(plain, '\\[(\\d+)\\]', 1), lambda x: x::BIGINT))) AS cited FROM d)"""
@@ -140,6 +163,7 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, f
     "context_block": f"{HITS} SELECT query_id, md5(string_agg('[' || (rank + 1) || '] (source: ' || source || ')' || chr(10) || CASE WHEN length(text) > 1200 THEN left(text, 1200) || '…' ELSE text END, chr(10) || chr(10) ORDER BY rank)) AS digest FROM h GROUP BY query_id",
     "recall_mrr_hit": f"{JUDGED} SELECT * FROM mt",
     "eval_means": f"{JUDGED} SELECT count(*) AS n, round_even(avg(recall_1), 3) AS recall_1, round_even(avg(recall_3), 3) AS recall_3, round_even(avg(recall_5), 3) AS recall_5, round_even(avg(recall_6), 3) AS recall_6, round_even(avg(mrr), 3) AS mrr, round_even(avg(hit_rate_5), 3) AS hit_rate_5 FROM mt",
+    "agent_rounds": ROUNDS_SQL,
     "citation_validate": f"{ANSWERS} SELECT conv_id, turn, array_to_string(cited, ',') AS citations, array_to_string({INVALID}, ',') AS invalid, len({INVALID}) = 0 AS valid, len(cited) > 0 AS has_citation FROM c",
     "citation_abstain": f"{ANSWERS} SELECT conv_id, turn, trim(answer) = '' OR len(cited) = 0 AS abstain FROM c",
     "citation_answer": f"{ANSWERS} SELECT conv_id, turn, CASE WHEN trim(answer) = '' OR len(cited) = 0 THEN '{ABSTAIN}' WHEN len({INVALID}) = 0 THEN answer ELSE rtrim(answer, ' ' || chr(10)) || {_text(WARNING[0])} || array_to_string(list_transform({INVALID}, lambda i: '[' || i || ']'), ', ') || {_text(WARNING[1])} END AS answer FROM c",
