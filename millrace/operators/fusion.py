@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.config import Settings
-from millrace.functions.text import tokenize
+from millrace.functions.text import cache_key, tokenize
 from millrace.functions.vectors import hashed_embedding
 from millrace.operators import bm25, dense
 from millrace.operators.rerank import Reranker
+from millrace.plans.memo import Memo
 
 
 def rrf(vector_hits: DataFrame, bm25_hits: DataFrame, k: int = 60) -> DataFrame:
@@ -50,13 +51,20 @@ class HybridIndex:
     embed: Embed | None = None
 
 
-def index_chunks(chunks: DataFrame, dim: int = 64, embed: Embed | None = None) -> HybridIndex:
-    """Index chunks (chunk_id, source, text) with ``embed`` (text column to vector column), or with the offline embedding."""
+def index_chunks(chunks: DataFrame, dim: int = 64, embed: Embed | None = None, memo: Memo | None = None, model: str = "") -> HybridIndex:
+    """Index chunks (chunk_id, source, text) with ``embed`` (text column to vector column), or with the offline embedding.
+
+    With ``memo`` each distinct text is embedded once by ``model``, and never again.
+    """
     tokens = chunks.select("chunk_id", tokenize(F.col("text")).alias("tokens"))
     if embed is None:
         vectors = tokens.select("chunk_id", hashed_embedding(F.col("tokens"), dim).alias("embedding"))
-    else:
+    elif memo is None:
         vectors = chunks.select("chunk_id", embed(F.col("text")).alias("embedding"))
+    else:
+        keyed = chunks.select("chunk_id", "text", cache_key(F.lit("embed"), F.lit(model), F.col("text")).alias("key"))
+        found = memo.filled(keyed.select("key", "text"), lambda some: some.select("key", embed(F.col("text")).alias("value")))
+        vectors = keyed.select("chunk_id", "key").join(found, "key").select("chunk_id", F.col("value").alias("embedding"))
     return HybridIndex(chunks.select("chunk_id", "source", "text"), vectors, bm25.build(tokens), dim, embed)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.config import Settings
 from millrace.functions import text as T
 from millrace.functions.vectors import hashed_embedding
-from millrace.operators import bm25, chunking, dense, figures, fusion, grounding, metrics
+from millrace.operators import bm25, chunking, dense, figures, fusion, grounding, metrics, numbers
 from millrace.operators.containment import containing
 from millrace.operators.rerank import Reranker
 from millrace.plans import rounds
@@ -199,13 +199,9 @@ def citation_answer(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def unsupported_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    items = F.array_sort(F.collect_list(F.struct("item_id", "text")))
-    context = table(spark, sf, "benchmark").agg(F.array_join(F.transform(items, lambda x: x["text"]), " ").alias("context"))
-    rows = table(spark, sf, "documents").select("doc_id", "text").crossJoin(F.broadcast(context))  # one row
-    return rows.select(
-        "doc_id", F.size(T.extract_numbers(F.col("text"))).cast("long").alias("n_numbers"),
-        F.array_join(T.unsupported_numbers(F.col("text"), F.col("context")), ",").alias("unsupported"),
-    )
+    answers = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("answer"))
+    found = numbers.unsupported(answers, table(spark, sf, "benchmark").select(F.col("item_id").alias("pos"), "text"))
+    return found.select(F.col("id").alias("doc_id"), "n_numbers", F.array_join("unsupported", ",").alias("unsupported"))
 
 
 def parse_json_verdict(spark: SparkSession, sf: str) -> DataFrame:
