@@ -6,9 +6,9 @@ any length; prefix sums of their sizes cut it at the source's budget. A source
 whose target exceeds its size is taken whole first (complete epochs), and only
 what is left of the target is sampled.
 
-Plan: DataFrame operators only. The key's distribution is known, so keys are
-dealt into ranges, as many as leave about ``bucket_rows`` rows in one; a
-source's prefix sum is then a sum over its ranges (few rows) plus a sum inside
+Plan: DataFrame operators only. The key's distribution follows from the weights, so
+keys are dealt into even ranges, as many as leave about ``bucket_rows`` rows in one
+(``key_range``); a source's prefix sum is then a sum over its ranges (few rows) plus a sum inside
 one range. Sources are numbered by ranges, and targets come from a few sums over
 them, so neither a large source nor many sources meet in one task.
 
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import numbered, stash, whole
 
+LEVELS = 16  # quantiles of the weights that tell the keys' distribution
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -90,6 +91,18 @@ def targets(sizes: DataFrame, p: MixParams) -> DataFrame:
     return w.select("source_key", "source", "source_size", F.when(capped, F.col("_cap").cast("double")).otherwise(shared).alias("target"))
 
 
+def key_range(rows: DataFrame, buckets: int) -> Column:
+    """The range that a row's ``_key`` falls into, rising with it; all ranges hold about as many of ``rows`` (_key, _weight).
+
+    A key is exponential with its weight as rate, so the share of smaller keys is a mean
+    over weights, of which LEVELS quantiles stand for all.
+    """
+    marks = [(i + 0.5) / LEVELS for i in range(LEVELS)]
+    levels = rows.agg(F.percentile_approx("_weight", marks, 10_000)).first()[0] or [1.0]
+    above = sum((F.exp(-F.col("_key") * F.lit(float(w))) for w in levels), F.lit(0.0)) / F.lit(float(len(levels)))
+    return F.least(F.floor((F.lit(1.0) - above) * buckets), F.lit(buckets - 1)).cast("int")
+
+
 def mix(docs: DataFrame, weights: DataFrame | None = None, params: MixParams | None = None, more: dict[str, Column] | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, for every row of ``docs``; and the columns ``more`` of its own.
 
@@ -110,10 +123,10 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, params: MixParams | N
     else:
         rows = rows.withColumn("weight", F.lit(1.0))
     key = -F.log("_u") / F.coalesce(F.col("weight"), F.lit(1.0))
-    rows = stash(rows.withColumn("_key", key).drop("weight", "_u", "_label", "_nameless"), "sizes")
+    rows = rows.withColumns({"_key": key, "_weight": F.coalesce(F.col("weight"), F.lit(1.0))}).drop("weight", "_u", "_label", "_nameless")
+    rows = stash(rows, "sizes")
     buckets = max(p.least_buckets, math.ceil(rows.count() / p.bucket_rows))
-    bucket = F.least(F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * buckets), F.lit(buckets - 1)).cast("int")
-    rows = rows.withColumn("_bucket", bucket)
+    rows = rows.withColumn("_bucket", key_range(rows, buckets)).drop("_weight")
 
     sums = stash(rows.groupBy("source_key", "_bucket").agg(F.sum("size").alias("_in"), F.count("*").alias("_n"), F.max("source").alias("source")), "sums")
     goals = targets(sums.groupBy("source_key").agg(F.max("source").alias("source"), F.sum("_in").alias("source_size")), p)

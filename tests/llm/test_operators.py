@@ -96,6 +96,16 @@ def test_quality_moves_the_selection(spark):
     assert n[1] > n[0]
 
 
+@pytest.mark.parametrize("weights", [[0.5], [1.0], [1.5], [0.5, 1.0, 1.5], [0.1, 7.0]])
+def test_ranges_of_keys_are_even(spark, weights):
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("id") % len(weights) + 1).cast("int"))
+    rows = spark.range(30_000).withColumn("_weight", weight).withColumn("_key", -F.log(mix.uniform(F.col("id"), F.lit(""), "s")) / F.col("_weight"))
+    rows = rows.withColumn("b", mix.key_range(rows, 100))
+    found = rows.groupBy("b").agg(F.count("*").alias("n"), F.min("_key").alias("lo"), F.max("_key").alias("hi")).orderBy("b").collect()
+    assert max(r["n"] for r in found) <= 600 and len(found) == 100
+    assert all(a["hi"] <= b["lo"] for a, b in zip(found, found[1:], strict=False))
+
+
 def test_token_counts(docs, none):
     tokenizers = pytest.importorskip("tokenizers")
     path = public_tokenizers.path("word_bpe_49k.json")
