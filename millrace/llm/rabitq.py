@@ -9,7 +9,7 @@ whose lower bound reaches the current k-th best distance, and ranks those by
 the exact distance between the original vectors, in double precision.
 
 The centre is the mean of a bounded sample; every row is indexed. Queries come
-in blocks of about ``block`` vectors: one block at a time is sent to the tasks
+in blocks of about ``block`` vectors, fewer where they have many dimensions: one block at a time is sent to the tasks
 (a bounded size), each task scans its part of the index and keeps k rows per
 query, and a window over (tasks x k) rows per query gives the result. A query
 meets every row, but no pairs are ever materialised.
@@ -43,7 +43,8 @@ RESULT = "query_id long, vec_id long, score double"
 class RabitqParams:
     k: int = 10
     sample: int = 4096  # rows that the centre is fitted on
-    block: int = 4096  # queries sent to the tasks at once
+    block: int = 4096  # queries sent to the tasks at once, at most
+    table_bytes: int = 64 << 20  # of a task's byte tables for one block
     spread: float = 3.0  # error bound in standard deviations of the estimate
     rows: int = 2048  # index rows compared at once
     seed: int = 7
@@ -134,9 +135,9 @@ def _search(index: RabitqIndex, ids: np.ndarray, queries: np.ndarray, p: RabitqP
     q_len = np.sqrt((moved**2).sum(axis=1))
     q_unit = moved @ turn.T / np.where(q_len > 0, q_len, 1)[:, None]
     bound = p.spread / math.sqrt(max(dim - 1, 1))
-    sums = byte_sums(q_unit)
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = byte_sums(q_unit)  # made in the task: 32 times as large as what is sent
         best_q, best_id, best_d = np.empty(0, int), np.empty(0, int), np.empty(0)
         worst = np.full(len(ids), np.inf)
         slack = 1e-9 * (1 + float(q_len.max(initial=0)) ** 2)
@@ -184,7 +185,8 @@ def search(index: RabitqIndex | None, is_query: Column, spark, params: RabitqPar
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     queries = index.rows.filter(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    blocks = max(1, math.ceil(queries.count() / p.block))
+    most = max(1, min(p.block, p.table_bytes // (256 * 8 * -(-len(index.centre) // 8))))
+    blocks = max(1, math.ceil(queries.count() / most))
     found = []
     for block in range(blocks):
         rows = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).orderBy("vec_id").collect()

@@ -525,8 +525,9 @@ def test_neighbours(spark):
         assert np.allclose([m[2] for m in mine], d[order], rtol=1e-12)
     assert rabitq.search(rabitq.build(frame.filter("vec_id in (700, 800, 900)")), F.lit(True), spark).count() == 0
     assert rabitq.search(rabitq.build(frame.filter("vec_id > 5000")), F.lit(True), spark).count() == 0
-    few = rabitq.search(rabitq.build(frame.filter("vec_id in (1, 2, 3)")), F.lit(True), spark, rabitq.RabitqParams(block=1)).collect()
-    assert len(few) == 6
+    for narrow in (rabitq.RabitqParams(block=1), rabitq.RabitqParams(table_bytes=1)):
+        few = rabitq.search(rabitq.build(frame.filter("vec_id in (1, 2, 3)")), F.lit(True), spark, narrow).collect()
+        assert len(few) == 6
 
 
 def test_codes_estimate_distances():
