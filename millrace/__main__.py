@@ -11,6 +11,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from millrace.config import Settings
 from millrace.operators.fusion import embed_queries, retrieve
 from millrace.plans.agent import Agent
 from millrace.plans.answer import answer_safely
@@ -28,9 +29,10 @@ def main(args: list[str]) -> int:
     if args[0] == "ingest":
         print(json.dumps(index_store.ingest(spark, args[1], args[2])))
     elif args[0] == "inspect":
+        index_store.figures(spark, args[1]).show(truncate=False)
         index_store.inspect(spark, args[1]).show(100, truncate=False)
     else:
-        index = index_store.load(spark, args[1])
+        index = index_store.load(spark, args[1], settings=Settings())
         if len(args) > 3:
             with open(args[3], encoding="utf-8") as f:
                 chat = ScriptedChat(json.load(f))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,31 +28,40 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size == 0, F.lit(0.0)).otherwise(dot(a, b) / size)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, where ``value`` is computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def normalise(a: Column) -> Column:
     """Scaled to length 1; zero vectors stay."""
-    size = norm(a)
-    return F.when(size == 0, a.cast("array<double>")).otherwise(F.transform(a, lambda x: x.cast("double") / size))
+
+    def scaled(v: Column) -> Column:
+        return _bound(norm(v), lambda size: F.when(size == 0, v).otherwise(F.transform(v, lambda x: x / size)))
+
+    return _bound(a.cast("array<double>"), scaled)
 
 
-@lru_cache(maxsize=1 << 18)
-def token_bucket(token: str, dim: int) -> int:
-    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim
+def token_bucket(token: Column, dim: int) -> Column:
+    """The first 32 bits of a token's MD5, modulo ``dim``."""
+    return F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long") % dim
 
 
 def hashed_embedding(tokens: Column, dim: int = 64) -> Column:
-    """Token counts by hash bucket, scaled to length 1."""
+    """Token counts by hash bucket, scaled to length 1; no tokens or null give zeros.
 
-    @F.pandas_udf("array<double>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            rows = []
-            for tokens in s:
-                counts = np.bincount([token_bucket(t, dim) for t in tokens] if len(tokens) else [], minlength=dim).astype(float)
-                size = np.sqrt((counts**2).sum())
-                rows.append(counts / size if size else counts)
-            yield pd.Series(rows)
-
-    return embed(tokens)
+    Tokens become buckets in the JVM; whole Arrow batches of these are counted at once.
+    """
+
+    @F.arrow_udf("array<double>")
+    def counted(buckets: pa.Array) -> pa.Array:
+        row, n = np.asarray(pc.list_parent_indices(buckets)), len(buckets)
+        counts = np.bincount(row.astype(np.int64) * dim + np.asarray(pc.list_flatten(buckets)), minlength=n * dim).astype(float).reshape(n, dim)
+        size = np.sqrt((counts**2).sum(axis=1, keepdims=True))
+        unit = np.divide(counts, size, out=counts, where=size > 0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32)), pa.array(unit.ravel()))
+
+    return counted(F.transform(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: token_bucket(t, dim)))
 
 
 def provider_embedding(embed: Callable[[list[str]], list[list[float]]], batch: int = 32) -> Callable[[Column], Column]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from millrace.operators.containment import containing
 from millrace.operators.rerank import Reranker
 from millrace.plans import rounds
 from millrace.registry import table
+from millrace.shared import shared_dir
+from millrace.sources import index_store
 
 SETTINGS = Settings()
 
@@ -159,6 +163,16 @@ def eval_means(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.report(_evaluated(spark, sf))
 
 
+def index_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents saved as an index, opened again, and what its manifest and its statistics say."""
+    folder = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    index_store.save(_index(spark, sf), _docs(spark, sf), folder, SETTINGS)
+    opened = index_store.load(spark, folder, settings=SETTINGS)
+    kept = index_store.versions(spark, folder).select("version", "chunk_count", "vector_count", "source_count", F.col("embed_dim").cast("long").alias("embed_dim"))
+    counted = opened.lexical.terms.agg(F.count("*").alias("n_terms"), F.sum("df").alias("n_postings"))
+    return kept.join(F.broadcast(counted))  # one row each
+
+
 def agent_rounds(spark: SparkSession, sf: str) -> DataFrame:
     """The agent over all questions of ``benchmark``; conversation n's turns make the replies to question n."""
     said = table(spark, sf, "conversations").select(F.col("conv_id").alias("question_id"), F.col("turn").cast("long").alias("call"), F.coalesce("text", F.lit("")).alias("t"))
@@ -261,6 +275,7 @@ QUERIES = {
     "context_block": context_block,
     "recall_mrr_hit": _evaluated,
     "eval_means": eval_means,
+    "index_snapshot": index_snapshot,
     "agent_rounds": agent_rounds,
     "citation_validate": citation_validate,
     "citation_abstain": citation_abstain,

@@ -147,6 +147,7 @@ SELECT id, array_to_string(list_concat(list_concat(w, s), list_transform(range(1
     "recursive_chunks": chunks() + f"\nSELECT chunk_id, doc_id, pos, md5(text) AS digest, {TOKENS.format('text')}::BIGINT AS n_tokens FROM ch",
     "chunk_stats": chunks() + f"\nSELECT source, count(*) AS n_chunks, sum({TOKENS.format('text')})::BIGINT AS n_tokens, max({TOKENS.format('text')})::BIGINT AS largest FROM ch GROUP BY source",
     "bm25_term_stats": f"{STATS} SELECT term, df, round(idf, 4) AS idf FROM idf",
+    "index_snapshot": f"{STATS} SELECT 1::BIGINT AS version, (SELECT count(*) FROM tok) AS chunk_count, (SELECT count(*) FROM tok) AS vector_count, (SELECT count(*) FROM (SELECT DISTINCT source FROM tok)) AS source_count, 64::BIGINT AS embed_dim, (SELECT count(*) FROM df) AS n_terms, (SELECT count(*) FROM tf) AS n_postings",
     "bm25_search": f"{LEXICAL} SELECT query_id, rank, chunk_id, score FROM b",
     "hashed_embedding": f"{STATS}, hv AS (SELECT chunk_id, {BUCKET} AS bucket, sum(tf)::DOUBLE AS c FROM tf GROUP BY ALL) SELECT chunk_id AS doc_id, bucket, round(c / sqrt(sum(c * c) OVER (PARTITION BY chunk_id)), 6) AS weight FROM hv",
     "vector_search": f"{LEXICAL}, {DENSE} SELECT query_id, rank, chunk_id, score FROM v",

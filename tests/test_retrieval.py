@@ -112,17 +112,78 @@ def test_merge_keeps_first_sight_and_largest_score(spark):
 
 def test_index_store(spark, index, chunks, tmp_path):
     folder = str(tmp_path / "index")
+    with pytest.raises(index_store.NoIndexError):
+        index_store.load(spark, folder)
     assert index_store.save(index, chunks, folder)["n_chunks"] == 5
     again = index_store.load(spark, folder)
     queries = asked(spark, "keywords")
     columns = ("rank", "chunk_id", "score")
     assert fusion.retrieve(again, queries).select(*columns).collect() == fusion.retrieve(index, queries).select(*columns).collect()
     assert index_store.inspect(spark, folder).count() == 5
-    spark.createDataFrame([(0, [1.0] * 8)], "chunk_id long, embedding array<double>").write.mode("overwrite").parquet(f"{folder}/vectors")
-    with pytest.raises(dense.DimensionError):
-        index_store.load(spark, folder)
     with pytest.raises(ValueError, match="no chunks"):
         index_store.save(index, chunks.limit(0), folder)
+    place = f"{folder}/snapshots/{index_store.manifest(spark, folder)['snapshot']}"
+    spark.createDataFrame([(0, [1.0] * 8)], "chunk_id long, embedding array<double>").write.mode("overwrite").parquet(f"{place}/vectors")
+    with pytest.raises(dense.DimensionError):
+        index_store.load(spark, folder)
+
+
+def test_index_versions(spark, index, chunks, tmp_path):
+    folder = str(tmp_path / "index")
+    assert index_store.save(index, chunks, folder)["version"] == 1
+    first = index_store.load(spark, folder)
+    few = chunks.filter("chunk_id < 2")
+    assert index_store.save(fusion.index_chunks(few), few, folder)["version"] == 2
+    assert index_store.load(spark, folder).chunks.count() == 2
+    assert index_store.load(spark, folder, version=1).chunks.count() == first.chunks.count() == 5  # a reader keeps what it opened
+    with pytest.raises(index_store.NoIndexError):
+        index_store.load(spark, folder, version=7)
+
+
+def test_failed_writes_leave_the_index_readable(spark, index, chunks, tmp_path):
+    folder = str(tmp_path / "index")
+    index_store.save(index, chunks, folder)
+    died = F.udf(lambda x: 1 / 0, "array<double>")
+    lost = fusion.HybridIndex(index.chunks, index.vectors.withColumn("embedding", died("chunk_id")), index.lexical, index.dim)
+    with pytest.raises(Exception, match="division by zero"):
+        index_store.save(lost, chunks, folder)
+    mixed = fusion.HybridIndex(index.chunks, index.vectors.withColumn("embedding", F.slice("embedding", 1, 8)), index.lexical, index.dim)
+    with pytest.raises(dense.DimensionError):
+        index_store.save(mixed, chunks, folder)
+    short = fusion.HybridIndex(index.chunks, index.vectors.filter("chunk_id > 0"), index.lexical, index.dim)
+    with pytest.raises(ValueError, match="4 vectors"):
+        index_store.save(short, chunks, folder)
+    spark.createDataFrame([], "version long").write.json(f"{folder}/manifests/00000002")  # a writer that died before its commit
+    assert index_store.manifest(spark, folder)["version"] == 1
+    assert index_store.load(spark, folder).chunks.count() == 5
+    assert index_store.save(index, chunks, folder)["version"] == 3
+
+
+def test_index_drift_and_figures(spark, index, chunks, tmp_path):
+    folder, made = str(tmp_path / "index"), Settings(embed_provider="hashed", embed_model="m", embed_dim=64)
+    index_store.save(index, chunks, folder, made)
+    meta = index_store.manifest(spark, folder)
+    assert index_store.drift(meta, made) == []
+    for other in (Settings(embed_provider="cloud", embed_model="m"), Settings(embed_model="m", embed_dim=8), Settings(embed_model="n")):
+        assert len(index_store.drift(meta, other)) == 1
+        with pytest.warns(UserWarning, match="index made with hashed"):
+            index_store.load(spark, folder, settings=other)
+    rows = index_store.figures(spark, folder).collect()
+    assert {r["part"] for r in rows} == set(index_store.PARTS) and all(r["bytes"] > 0 for r in rows)
+    assert {(r["chunk_count"], r["vector_count"], r["source_count"], r["embed_dim"]) for r in rows} == {(5, 5, 5, 64)}
+    assert sum(r["share"] for r in rows) == pytest.approx(1, abs=1e-3)
+
+
+def test_expire_keeps_the_newest_versions(spark, index, chunks, tmp_path):
+    folder = str(tmp_path / "index")
+    for _ in range(3):
+        index_store.save(index, chunks, folder)
+    assert sorted(index_store.expire(spark, folder, 1)) == [1, 2]
+    assert [r["version"] for r in index_store.versions(spark, folder).collect()] == [3]
+    assert len(list((tmp_path / "index" / "snapshots").iterdir())) == 1
+    assert index_store.load(spark, folder).chunks.count() == 5
+    with pytest.raises(ValueError, match="at least one"):
+        index_store.expire(spark, folder, 0)
 
 
 def test_ingest_files(spark, tmp_path):
