@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.config import Settings
 from millrace.functions import text as T
+from millrace.functions.sql import register
 from millrace.functions.vectors import hashed_embedding
 from millrace.operators import bm25, chunking, dense, figures, fusion, grounding, metrics, numbers
 from millrace.operators.containment import containing
@@ -75,6 +76,14 @@ def recursive_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return _chunks(spark, sf).select("chunk_id", F.col("doc_ord").alias("doc_id"), F.col("pos").cast("long").alias("pos"), F.md5("text").alias("digest"), "n_tokens")
 
 
+def sql_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunks of all documents from SQL text with a table function."""
+    register(spark)
+    docs = _spread(table(spark, sf, "documents").select("doc_id", "text"))
+    text = "SELECT doc_id, CAST(c.pos AS BIGINT) AS pos, md5(c.text) AS digest, text_tokens(c.text) AS n_tokens FROM {docs} d, LATERAL chunk_text(d.text, {most}, {overlap}) c"
+    return spark.sql(text, docs=docs, most=SETTINGS.max_tokens, overlap=SETTINGS.overlap)
+
+
 def chunk_stats(spark: SparkSession, sf: str) -> DataFrame:
     docs = _spread(table(spark, sf, "documents").select("source", "text"))
     pieces = docs.select("source", F.explode(chunking.chunk_text(F.col("text"), SETTINGS.max_tokens, SETTINGS.overlap)).alias("text"))
@@ -261,6 +270,7 @@ QUERIES = {
     "cjk_bigrams": cjk_bigrams,
     "hard_split_chunks": hard_split_chunks,
     "recursive_chunks": recursive_chunks,
+    "sql_chunks": sql_chunks,
     "chunk_stats": chunk_stats,
     "bm25_term_stats": bm25_term_stats,
     "bm25_search": bm25_search,

@@ -145,6 +145,7 @@ c AS (SELECT id, text, regexp_extract_all(lower(text), '[a-z0-9]+') AS w, regexp
 SELECT id, array_to_string(list_concat(list_concat(w, s), list_transform(range(1, len(s)), lambda i: s[i] || s[i + 1])), '|') AS tokens FROM c""",
     "hard_split_chunks": "SELECT doc_id, unnest(range(0, length(text), 1200)) // 1200 AS pos, md5(substr(text, unnest(range(0, length(text), 1200))::INT + 1, 1200)) AS digest FROM documents WHERE length(text) > 0",
     "recursive_chunks": chunks() + f"\nSELECT chunk_id, doc_id, pos, md5(text) AS digest, {TOKENS.format('text')}::BIGINT AS n_tokens FROM ch",
+    "sql_chunks": chunks() + f"\nSELECT doc_id, pos, md5(text) AS digest, {TOKENS.format('text')}::BIGINT AS n_tokens FROM ch",
     "chunk_stats": chunks() + f"\nSELECT source, count(*) AS n_chunks, sum({TOKENS.format('text')})::BIGINT AS n_tokens, max({TOKENS.format('text')})::BIGINT AS largest FROM ch GROUP BY source",
     "bm25_term_stats": f"{STATS} SELECT term, df, round(idf, 4) AS idf FROM idf",
     "index_snapshot": f"{STATS} SELECT 1::BIGINT AS version, (SELECT count(*) FROM tok) AS chunk_count, (SELECT count(*) FROM tok) AS vector_count, (SELECT count(*) FROM (SELECT DISTINCT source FROM tok)) AS source_count, 64::BIGINT AS embed_dim, (SELECT count(*) FROM df) AS n_terms, (SELECT count(*) FROM tf) AS n_postings",
