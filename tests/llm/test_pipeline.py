@@ -59,7 +59,7 @@ def near(docs: list) -> list:
     sets = []
     for d in docs:
         w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in words_of(d[1])]
-        sets.append({tuple(w[i : i + 4]) for i in range(len(w) - 3)} or ({tuple(w)} if w else set()))
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
     root = list(range(len(docs)))
 
     def find(i):
