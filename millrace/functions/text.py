@@ -39,13 +39,9 @@ def tokenize(c: Column) -> Column:
     """Latin words and numbers, then CJK characters, then pairs of neighbouring CJK characters."""
     low = F.lower(F.coalesce(c, F.lit("")))
     words = F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))
-    single = F.regexp_extract_all(low, F.lit(CJK), F.lit(0))
-    pairs = F.zip_with(
-        F.slice(single, F.lit(1), F.greatest(F.size(single) - 1, F.lit(0))),
-        F.slice(single, F.lit(2), F.greatest(F.size(single) - 1, F.lit(0))),
-        lambda a, b: F.concat(a, b),
-    )
-    return F.concat(words, single, pairs)
+    # other signs go first, so that the pairs, which overlap, are looked for in what is left; mostly nothing
+    cjk = F.regexp_replace(low, f"[^{CJK[1:]}+", "")
+    return F.concat(words, F.regexp_extract_all(cjk, F.lit("."), F.lit(0)), F.regexp_extract_all(cjk, F.lit("(?=(..))"), F.lit(1)))
 
 
 def _opens_with(c: Column, words: tuple[str, ...]) -> Column:

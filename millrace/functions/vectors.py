@@ -28,7 +28,7 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size == 0, F.lit(0.0)).otherwise(dot(a, b) / size)
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)``, where ``value`` is computed once however often it is used."""
     return F.transform(F.array(value), use)[0]
 
@@ -37,9 +37,9 @@ def normalise(a: Column) -> Column:
     """Scaled to length 1; zero vectors stay."""
 
     def scaled(v: Column) -> Column:
-        return _bound(norm(v), lambda size: F.when(size == 0, v).otherwise(F.transform(v, lambda x: x / size)))
+        return bound(norm(v), lambda size: F.when(size == 0, v).otherwise(F.transform(v, lambda x: x / size)))
 
-    return _bound(a.cast("array<double>"), scaled)
+    return bound(a.cast("array<double>"), scaled)
 
 
 def token_bucket(token: Column, dim: int) -> Column:
@@ -47,21 +47,29 @@ def token_bucket(token: Column, dim: int) -> Column:
     return F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long") % dim
 
 
-def hashed_embedding(tokens: Column, dim: int = 64) -> Column:
-    """Token counts by hash bucket, scaled to length 1; no tokens or null give zeros.
+def hashed_embedding(tokens: Column, dim: int = 64, tfs: Column | None = None) -> Column:
+    """Token counts by hash bucket, scaled to length 1; no tokens or null give zeros. With ``tfs`` a token counts so many times.
 
     Tokens become buckets in the JVM; whole Arrow batches of these are counted at once.
     """
 
-    @F.arrow_udf("array<double>")
-    def counted(buckets: pa.Array) -> pa.Array:
+    def unit(buckets: pa.Array, times: np.ndarray | None) -> pa.Array:
         row, n = np.asarray(pc.list_parent_indices(buckets)), len(buckets)
-        counts = np.bincount(row.astype(np.int64) * dim + np.asarray(pc.list_flatten(buckets)), minlength=n * dim).astype(float).reshape(n, dim)
+        counts = np.bincount(row.astype(np.int64) * dim + np.asarray(pc.list_flatten(buckets)), times, minlength=n * dim).astype(float).reshape(n, dim)
         size = np.sqrt((counts**2).sum(axis=1, keepdims=True))
-        unit = np.divide(counts, size, out=counts, where=size > 0)
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32)), pa.array(unit.ravel()))
+        scaled = np.divide(counts, size, out=counts, where=size > 0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32)), pa.array(scaled.ravel()))
+
+    @F.arrow_udf("array<double>")
+    def once(buckets: pa.Array) -> pa.Array:
+        return unit(buckets, None)
+
+    @F.arrow_udf("array<double>")
+    def weighted(buckets: pa.Array, times: pa.Array) -> pa.Array:
+        return unit(buckets, np.asarray(pc.list_flatten(times)).astype(float))
 
-    return counted(F.transform(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: token_bucket(t, dim)))
+    buckets = F.transform(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: token_bucket(t, dim))
+    return once(buckets) if tfs is None else weighted(buckets, tfs)
 
 
 def provider_embedding(embed: Callable[[list[str]], list[list[float]]], batch: int = 32) -> Callable[[Column], Column]:

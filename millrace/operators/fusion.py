@@ -56,18 +56,19 @@ class HybridIndex:
 def index_chunks(chunks: DataFrame, dim: int = 64, embed: Embed | None = None, memo: Memo | None = None, model: str = "") -> HybridIndex:
     """Index chunks (chunk_id, source, text) with ``embed`` (text column to vector column), or with the offline embedding.
 
-    With ``memo`` each distinct text is embedded once by ``model``, and never again.
+    With ``memo`` each distinct text is embedded once by ``model``, and never again. Texts are made into counts of terms once, which are
+    written to the shared folder and serve both sides.
     """
-    tokens = chunks.select("chunk_id", tokenize(F.col("text")).alias("tokens"))
+    counts = stash(bm25.counts(chunks.select("chunk_id", tokenize(F.col("text")).alias("tokens"))), "counts")
     if embed is None:
-        vectors = tokens.select("chunk_id", hashed_embedding(F.col("tokens"), dim).alias("embedding"))
+        vectors = counts.select("chunk_id", hashed_embedding(F.col("terms"), dim, F.col("tfs")).alias("embedding"))
     elif memo is None:
         vectors = chunks.select("chunk_id", embed(F.col("text")).alias("embedding"))
     else:
         keyed = chunks.select("chunk_id", "text", cache_key(F.lit("embed"), F.lit(model), F.col("text")).alias("key"))
         found = memo.filled(keyed.select("key", "text"), lambda some: some.select("key", embed(F.col("text")).alias("value")))
         vectors = keyed.select("chunk_id", "key").join(found, "key").select("chunk_id", F.col("value").alias("embedding"))
-    return HybridIndex(chunks.select("chunk_id", "source", "text"), vectors, bm25.build(tokens), dim, embed)
+    return HybridIndex(chunks.select("chunk_id", "source", "text"), vectors, bm25.of_counts(counts), dim, embed)
 
 
 def embed_queries(queries: DataFrame, dim: int = 64, embed: Embed | None = None) -> DataFrame:

@@ -65,7 +65,7 @@ def provided(chat: ChatProvider) -> Model:
 
 def materialised(index: HybridIndex) -> HybridIndex:
     """An index whose parts are computed once."""
-    lexical = Bm25Index(*(stash(getattr(index.lexical, part), part) for part in ("postings", "terms", "doclen", "stats")))
+    lexical = Bm25Index(*(stash(getattr(index.lexical, part), part) for part in ("counts", "terms", "stats")))
     return HybridIndex(stash(index.chunks, "chunks"), stash(index.vectors, "vectors"), lexical, index.dim, index.embed)
 
 

@@ -16,7 +16,7 @@ from millrace.operators.containment import containing
 from millrace.operators.rerank import Reranker
 from millrace.plans import rounds
 from millrace.registry import table
-from millrace.shared import shared_dir
+from millrace.shared import shared_dir, stash
 from millrace.sources import index_store
 
 SETTINGS = Settings()
@@ -93,7 +93,7 @@ def chunk_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 def bm25_term_stats(spark: SparkSession, sf: str) -> DataFrame:
     tokens = _docs(spark, sf).select("chunk_id", T.tokenize(F.col("text")).alias("tokens"))
-    return bm25.build(tokens).terms.select("term", "df", F.round("idf", 4).alias("idf"))
+    return bm25.of_counts(stash(bm25.counts(tokens), "counts")).terms.select("term", "df", F.round("idf", 4).alias("idf"))
 
 
 def bm25_search(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Indexes as folders of snapshots.
 
-    folder/snapshots/<name>/{chunks,vectors,postings,terms,doclen,stats}
+    folder/snapshots/<name>/{chunks,vectors,counts,terms,stats}
     folder/manifests/<version>/      one JSON line
 
 A snapshot is written under a new name, read back and checked; then its manifest
@@ -22,14 +22,15 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.config import Settings
-from millrace.operators.bm25 import Bm25Index
+from millrace.operators.bm25 import Bm25Index, of_postings
 from millrace.operators.chunking import build_chunks
 from millrace.operators.dense import DimensionError
 from millrace.operators.fusion import Embed, HybridIndex, index_chunks
 from millrace.sources.documents import load_documents
 
-FORMAT = 2
-LEXICAL = ("postings", "terms", "doclen", "stats")
+FORMAT = 3
+LEXICAL = ("counts", "terms", "stats")
+FORMER = ("postings", "terms", "doclen", "stats")  # of formats before 3
 PARTS = ("chunks", "vectors", *LEXICAL)
 MANIFEST = (
     "version long, snapshot string, format int, created_at string, embed_provider string, embed_model string, embed_dim int, metric string, "
@@ -132,7 +133,8 @@ def load(spark: SparkSession, folder: str, embed: Embed | None = None, settings:
     """Open the newest version or another one. ``embed`` is what it was made with.
 
     Vectors of another length than the manifest says are an error; with ``settings``,
-    drift is warned about. A folder that holds the parts themselves, without a manifest, is taken as it is.
+    drift is warned about. A folder that holds the parts themselves, without a manifest, is taken as it is; postings of
+    former formats are gathered by chunk.
     """
     try:
         meta = manifest(spark, folder, version)
@@ -142,7 +144,8 @@ def load(spark: SparkSession, folder: str, embed: Embed | None = None, settings:
             raise
         meta, place, dim = None, folder, None
     try:
-        read = {name: spark.read.parquet(f"{place}/{name}") for name in PARTS}
+        parts = LEXICAL if meta is not None and meta["format"] >= 3 else FORMER
+        read = {name: spark.read.parquet(f"{place}/{name}") for name in ("chunks", "vectors", *parts)}
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -155,7 +158,8 @@ def load(spark: SparkSession, folder: str, embed: Embed | None = None, settings:
     if meta is not None and settings is not None:
         for said in drift(meta, settings):
             warnings.warn(said, stacklevel=2)
-    return HybridIndex(read["chunks"].select("chunk_id", "source", "text"), read["vectors"], Bm25Index(*(read[p] for p in LEXICAL)), dim, embed)
+    lexical = (Bm25Index if parts == LEXICAL else of_postings)(*(read[p] for p in parts))
+    return HybridIndex(read["chunks"].select("chunk_id", "source", "text"), read["vectors"], lexical, dim, embed)
 
 
 def inspect(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +61,59 @@ def test_bm25_scores(spark, chunks, index):
     assert top["chunk_id"] == 0 and top["score"] > 0
 
 
+def test_bm25_search_of_many_blocks(spark, monkeypatch):
+    """Against brute force: many queries and blocks, copies that tie, terms that repeat, a null and an empty array of tokens."""
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{i}" for i in range(300)])
+    docs = [list(words[np.minimum(rng.zipf(1.4, rng.integers(1, 60)) - 1, 299)]) for _ in range(400)]
+    docs += [docs[i % 7] for i in range(40)] + [[], []]
+    asked = [list(words[rng.integers(0, 300, 12)]) for _ in range(25)] + [["w3"] * 4 + ["w290"], ["none"], []]
+    rows = [(i, d) for i, d in enumerate(docs)]
+    rows[-1] = (len(docs) - 1, None)
+    index = bm25.build(spark.createDataFrame(rows, "chunk_id long, tokens array<string>"))
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, tokens array<string>")
+    want = {}
+    for q, tokens in enumerate(asked):
+        scores = [(-round(s, 4), i) for i, s in enumerate(plain_bm25(docs, tokens)) if round(s, 4) > 0]
+        want |= {(q, rank): (i, -s) for rank, (s, i) in enumerate(sorted(scores)[:5])}
+    for block in (8192, 7):
+        got = {(r["query_id"], r["rank"]): (r["chunk_id"], r["score"]) for r in bm25.search(index, queries, 5, block).collect()}
+        assert {x: i for x, (i, _) in got.items()} == {x: i for x, (i, _) in want.items()}
+        assert all(got[x][1] == pytest.approx(want[x][1], abs=1e-4) for x in want)
+
+
+def test_bm25_skips_blocks(monkeypatch):
+    """Blocks of chunks that only share weak terms with a query aren't scored once k good ones are known; the result is the same."""
+    terms = pa.array([["rare", "common"]] * 3 + [["common"]] * 997)
+    tfs, scale, chunk = pa.array([[2, 1]] * 3 + [[1]] * 997), np.full(1000, 1.5), np.arange(1000)
+    found = []
+    for rows in (10, 1000):
+        monkeypatch.setattr(bm25, "ROWS", rows)
+        cell = bm25.Cell(np.array([7, 8]), np.array([0, 0, 1]), pa.array(["rare", "common", "common"]), np.array([5.0, 0.1, 1.0]), 3)
+        cell.add(chunk, terms, tfs, scale)
+        found.append((cell.found().to_pydict(), cell.met))
+    assert found[0][0] == found[1][0] and found[0][0]["chunk_id"] == [0, 1, 2, 0, 1, 2]
+    assert found[0][1] == 10 + 3 + 1000 and found[1][1] == 2003  # query 8 meets equal scores everywhere, which can't be ruled out
+
+
+def test_count_terms(spark):
+    rows = spark.createDataFrame([(1, ["b", "a", "b", "b"]), (2, []), (3, None), (4, ["x"])], "chunk_id long, tokens array<string>")
+    got = {r["chunk_id"]: (r["dl"], r["terms"], r["tfs"]) for r in bm25.counts(rows).collect()}
+    assert got == {1: (4, ["a", "b"], [1, 3]), 2: (0, [], []), 3: (0, [], []), 4: (1, ["x"], [1])}
+
+
+def test_indexes_of_former_formats_open(spark, index, chunks, tmp_path):
+    folder = str(tmp_path / "index")
+    lexical = index.lexical
+    parts = {"chunks": chunks, "vectors": index.vectors, "postings": lexical.postings, "terms": lexical.terms, "stats": lexical.stats}
+    for name, rows in (parts | {"doclen": lexical.counts.select("chunk_id", "dl")}).items():
+        rows.write.parquet(f"{folder}/{name}")
+    old = index_store.load(spark, folder)
+    assert sorted(old.lexical.counts.collect()) == sorted(lexical.counts.collect())
+    queries = asked(spark, "keywords")
+    assert bm25.search(old.lexical, queries).collect() == bm25.search(lexical, queries).collect()
+
+
 def test_dense_search_is_exact(spark):
     rng = np.random.default_rng(1)
     x, q = rng.standard_normal((300, 16)), rng.standard_normal((7, 16))
