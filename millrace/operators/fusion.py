@@ -39,6 +39,7 @@ def rrf(vector_hits: DataFrame, bm25_hits: DataFrame, k: int = 60) -> DataFrame:
     return fused.withColumn("fused_rank", (F.row_number().over(order) - 1).cast("long")).drop("vector_rank", "bm25_rank")
 
 
+SMALL = 200_000  # hits that are broadcast
 Embed = Callable[[Column], Column]
 
 
@@ -104,7 +105,7 @@ def retrieve(
     index: HybridIndex, queries: DataFrame, settings: Settings | None = None, top_k: int | None = None, reranker: Reranker | None = None,
     timings: Timings | None = None,
 ) -> DataFrame:
-    """query_id, rank (from 0), chunk_id, source, text, score, vector_score, bm25_score: the top hits of all queries.
+    """query_id, rank (from 0), chunk_id, source, text, score, vector_score, bm25_score: the top hits of all queries, those of a query together and best first.
 
     With a reranker the score is the reranker's. ``timings`` gets vector_ms, bm25_ms, rrf_ms and rerank_ms (0 without a reranker).
     """
@@ -117,7 +118,10 @@ def retrieve(
         step = _unmeasured if timings is None else timings.step
         first = fused
         fused = step("rerank", lambda: reranker.rerank(first, index.chunks, queries))
-    hits = fused.filter(F.col("rank") < k).join(index.chunks, "chunk_id")
+    best = fused.filter(F.col("rank") < k)
+    # texts stay where they are unless the hits are many
+    best = F.broadcast(best) if queries.count() * k <= SMALL else best
+    hits = best.join(index.chunks, "chunk_id").repartition("query_id").sortWithinPartitions("query_id", "rank")
     return hits.select("query_id", "rank", "chunk_id", "source", "text", "score", "vector_score", "bm25_score")
 
 

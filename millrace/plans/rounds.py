@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 from millrace.config import Settings
 from millrace.functions.text import context_block
-from millrace.operators.bm25 import Bm25Index
 from millrace.operators.fusion import HybridIndex, embed_queries, merge_hits, retrieve
 from millrace.operators.rerank import Reranker
 from millrace.plans.agent import NOTHING, PLAN, REFLECT, STRICT, STUCK, UNREADABLE, parse_object, read_verdict
@@ -63,10 +62,9 @@ def provided(chat: ChatProvider) -> Model:
     return lambda calls: calls.select("question_id", asked("prompt").alias("reply"))
 
 
-def materialised(index: HybridIndex) -> HybridIndex:
-    """An index whose parts are computed once."""
-    lexical = Bm25Index(*(stash(getattr(index.lexical, part), part) for part in ("counts", "terms", "stats")))
-    return HybridIndex(stash(index.chunks, "chunks"), stash(index.vectors, "vectors"), lexical, index.dim, index.embed)
+def materialised(index: HybridIndex, texts: bool = True) -> HybridIndex:
+    """An index whose parts are computed once. Counts are files already; so are the texts, without ``texts``."""
+    return HybridIndex(stash(index.chunks, "chunks") if texts else index.chunks, stash(index.vectors, "vectors"), index.lexical, index.dim, index.embed)
 
 
 def _prompt(template: str, **columns: Column) -> Column:

@@ -192,7 +192,7 @@ def agent_rounds(spark: SparkSession, sf: str) -> DataFrame:
     judge = F.to_json(F.struct((n % 5 == 0).alias("sufficient"), ((n % 100) / 100).alias("confidence"), F.lit("more").alias("gap"), ask))
     replies = said.select("question_id", "call", F.when(F.col("call") == 0, plan).otherwise(judge).alias("reply"))
     questions = table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
-    found = rounds.run(rounds.materialised(_index(spark, sf)), questions, rounds.scripted(replies), SETTINGS)
+    found = rounds.run(rounds.materialised(_index(spark, sf), texts=False), questions, rounds.scripted(replies), SETTINGS)
     ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda h: h["chunk_id"].cast("string"))
     hits = found.hits.groupBy("question_id").agg(F.array_join(ids, ",").alias("chunks"))
     kept = found.stats.select("question_id", "iterations", "llm_calls", "retrieved_total", "note")

@@ -7,7 +7,7 @@ import json
 import pytest
 
 from millrace.config import Settings
-from millrace.operators import fusion
+from millrace.operators import bm25, dense, fusion
 from millrace.plans import rounds
 from millrace.plans.agent import Agent
 from millrace.plans.providers import ScriptedChat
@@ -73,3 +73,15 @@ def test_a_provider_in_the_tasks_and_an_index_of_nothing(spark, index):
     found = rounds.run(nothing, questions, rounds.provided(Fixed()), SETTINGS)
     assert sorted((r["question_id"], r["note"], r["empty_retrieval"]) for r in found.stats.collect()) == [(3, "no chunks retrieved", True), (8, "no chunks retrieved", True)]
     assert found.hits.count() == 0
+
+
+def test_a_round_exchanges_no_chunks(spark, index):
+    """Counts, vectors and texts stay in their splits, and materialised() writes no counts again."""
+    queries = fusion.embed_queries(spark.createDataFrame([(0, "keywords"), (1, "passages")], "query_id long, text string"))
+    for found in (bm25.search(index.lexical, queries), dense.search(index.vectors, queries)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Repartition" not in plan and "Sort [kind" not in plan
+    again = rounds.materialised(index, texts=False)
+    assert again.lexical.counts is index.lexical.counts and again.chunks is index.chunks
+    plan = fusion.retrieve(index, queries, SETTINGS)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
