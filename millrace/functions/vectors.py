@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+ROWS = 1024  # texts that are counted together
+
 
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double precision."""
@@ -42,34 +45,39 @@ def normalise(a: Column) -> Column:
     return bound(a.cast("array<double>"), scaled)
 
 
-def token_bucket(token: Column, dim: int) -> Column:
-    """The first 32 bits of a token's MD5, modulo ``dim``."""
-    return F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long") % dim
-
-
 def hashed_embedding(tokens: Column, dim: int = 64, tfs: Column | None = None) -> Column:
     """Token counts by hash bucket, scaled to length 1; no tokens or null give zeros. With ``tfs`` a token counts so many times.
 
-    Tokens become buckets in the JVM; whole Arrow batches of these are counted at once.
+    Whole Arrow batches are counted, ROWS texts at once; a batch hashes each distinct token once.
     """
 
-    def unit(buckets: pa.Array, times: np.ndarray | None) -> pa.Array:
-        row, n = np.asarray(pc.list_parent_indices(buckets)), len(buckets)
-        counts = np.bincount(row.astype(np.int64) * dim + np.asarray(pc.list_flatten(buckets)), times, minlength=n * dim).astype(float).reshape(n, dim)
-        size = np.sqrt((counts**2).sum(axis=1, keepdims=True))
-        scaled = np.divide(counts, size, out=counts, where=size > 0)
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32)), pa.array(scaled.ravel()))
+    def unit(tokens: pa.Array, times: pa.Array | None) -> pa.Array:
+        found, known = [], {}
+        for low in range(0, len(tokens), ROWS):
+            own = tokens.slice(low, ROWS)
+            row, coded = np.asarray(pc.list_parent_indices(own)).astype(np.int64), pc.list_flatten(own).dictionary_encode()
+            names = coded.dictionary.to_pylist()
+            for t in names:
+                if t not in known:
+                    known[t] = int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dim
+            buckets = np.array([known[t] for t in names], np.int64)[coded.indices.to_numpy()]
+            weights = None if times is None else pc.list_flatten(times.slice(low, ROWS)).to_numpy().astype(float)
+            counts = np.bincount(row * dim + buckets, weights, minlength=len(own) * dim).astype(float).reshape(len(own), dim)
+            size = np.sqrt((counts**2).sum(axis=1, keepdims=True))
+            found.append(np.divide(counts, size, out=counts, where=size > 0).ravel())
+        flat = np.concatenate([*found, np.empty(0)])
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(tokens) * dim + 1, dim, dtype=np.int32)), pa.array(flat))
 
     @F.arrow_udf("array<double>")
-    def once(buckets: pa.Array) -> pa.Array:
-        return unit(buckets, None)
+    def once(tokens: pa.Array) -> pa.Array:
+        return unit(tokens, None)
 
     @F.arrow_udf("array<double>")
-    def weighted(buckets: pa.Array, times: pa.Array) -> pa.Array:
-        return unit(buckets, np.asarray(pc.list_flatten(times)).astype(float))
+    def weighted(tokens: pa.Array, times: pa.Array) -> pa.Array:
+        return unit(tokens, times)
 
-    buckets = F.transform(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: token_bucket(t, dim))
-    return once(buckets) if tfs is None else weighted(buckets, tfs)
+    tokens = F.coalesce(tokens, F.array().cast("array<string>"))
+    return once(tokens) if tfs is None else weighted(tokens, tfs)
 
 
 def provider_embedding(embed: Callable[[list[str]], list[list[float]]], batch: int = 32) -> Callable[[Column], Column]:
