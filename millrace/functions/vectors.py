@@ -48,19 +48,16 @@ def normalise(a: Column) -> Column:
 def hashed_embedding(tokens: Column, dim: int = 64, tfs: Column | None = None) -> Column:
     """Token counts by hash bucket, scaled to length 1; no tokens or null give zeros. With ``tfs`` a token counts so many times.
 
-    Whole Arrow batches are counted, ROWS texts at once; a batch hashes each distinct token once.
+    Whole Arrow batches are counted, ROWS texts at once; each distinct token of these is hashed once.
     """
 
     def unit(tokens: pa.Array, times: pa.Array | None) -> pa.Array:
-        found, known = [], {}
+        found = []
         for low in range(0, len(tokens), ROWS):
             own = tokens.slice(low, ROWS)
             row, coded = np.asarray(pc.list_parent_indices(own)).astype(np.int64), pc.list_flatten(own).dictionary_encode()
             names = coded.dictionary.to_pylist()
-            for t in names:
-                if t not in known:
-                    known[t] = int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dim
-            buckets = np.array([known[t] for t in names], np.int64)[coded.indices.to_numpy()]
+            buckets = np.array([int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dim for t in names], np.int64)[coded.indices.to_numpy()]
             weights = None if times is None else pc.list_flatten(times.slice(low, ROWS)).to_numpy().astype(float)
             counts = np.bincount(row * dim + buckets, weights, minlength=len(own) * dim).astype(float).reshape(len(own), dim)
             size = np.sqrt((counts**2).sum(axis=1, keepdims=True))

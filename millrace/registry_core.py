@@ -41,8 +41,13 @@ def _index(spark: SparkSession, sf: str) -> fusion.HybridIndex:
     return fusion.index_chunks(_docs(spark, sf))
 
 
+def _stored(spark: SparkSession, sf: str) -> fusion.HybridIndex:
+    """The index with its vectors as files, so that a task runs one Python function at a time."""
+    return rounds.materialised(_index(spark, sf), texts=False)
+
+
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
-    return fusion.retrieve(_index(spark, sf), _queries(spark, sf), SETTINGS)
+    return fusion.retrieve(_stored(spark, sf), _queries(spark, sf), SETTINGS)
 
 
 def token_count(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,7 +112,7 @@ def embed_hashed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vector_search(spark: SparkSession, sf: str) -> DataFrame:
-    return dense.search(_index(spark, sf).vectors, _queries(spark, sf), SETTINGS.top_k_vector)
+    return dense.search(_stored(spark, sf).vectors, _queries(spark, sf), SETTINGS.top_k_vector)
 
 
 def label_neighbours(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,7 +124,7 @@ def label_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _fused(spark: SparkSession, sf: str) -> DataFrame:
-    index, queries = _index(spark, sf), _queries(spark, sf)
+    index, queries = _stored(spark, sf), _queries(spark, sf)
     near = dense.search(index.vectors, queries, SETTINGS.top_k_vector)
     return fusion.rrf(near, bm25.search(index.lexical, queries, SETTINGS.top_k_bm25), SETTINGS.rrf_k)
 
@@ -129,7 +134,7 @@ def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def candidate_cut(spark: SparkSession, sf: str) -> DataFrame:
-    kept = fusion.candidates(_index(spark, sf), _queries(spark, sf), SETTINGS)
+    kept = fusion.candidates(_stored(spark, sf), _queries(spark, sf), SETTINGS)
     return kept.groupBy("query_id").agg(F.count("*").alias("n"), F.sum("chunk_id").alias("ids"))
 
 
@@ -138,7 +143,7 @@ def hybrid_retrieve(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cosine_rerank(spark: SparkSession, sf: str) -> DataFrame:
-    hits = fusion.retrieve(_index(spark, sf), _queries(spark, sf), SETTINGS, reranker=Reranker())
+    hits = fusion.retrieve(_stored(spark, sf), _queries(spark, sf), SETTINGS, reranker=Reranker())
     return hits.select("query_id", "rank", "chunk_id", "score")
 
 
@@ -192,7 +197,7 @@ def agent_rounds(spark: SparkSession, sf: str) -> DataFrame:
     judge = F.to_json(F.struct((n % 5 == 0).alias("sufficient"), ((n % 100) / 100).alias("confidence"), F.lit("more").alias("gap"), ask))
     replies = said.select("question_id", "call", F.when(F.col("call") == 0, plan).otherwise(judge).alias("reply"))
     questions = table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
-    found = rounds.run(rounds.materialised(_index(spark, sf), texts=False), questions, rounds.scripted(replies), SETTINGS)
+    found = rounds.run(_stored(spark, sf), questions, rounds.scripted(replies), SETTINGS)
     ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda h: h["chunk_id"].cast("string"))
     hits = found.hits.groupBy("question_id").agg(F.array_join(ids, ",").alias("chunks"))
     kept = found.stats.select("question_id", "iterations", "llm_calls", "retrieved_total", "note")
