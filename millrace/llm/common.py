@@ -5,7 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,10 +51,42 @@ def n_parts(spark: SparkSession) -> int:
 def stash(df: DataFrame, what: str = "stash") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: a cut of lineage that stays small."""
     path = fresh_path(df.sparkSession, what)
-    df.write.parquet(path)
+    if not _few.get():
+        df.write.parquet(path)
+    else:
+        held = df.persist(StorageLevel.DISK_ONLY)
+        try:
+            files = max(df.sparkSession.sparkContext.defaultParallelism, -(-held.count() // FEW))
+            held.coalesce(files).write.parquet(path)
+        finally:
+            held.unpersist()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+FEW = 2048
+_few: ContextVar[bool] = ContextVar("few", default=False)
+
+
+@contextmanager
+def sized(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it ``stash`` knows that its tables have about so many rows.
+
+    Where that is less than FEW for a shuffle partition, a table is still computed in all
+    partitions, but written in files of about FEW rows: each file costs a task and, on
+    a local file system, half a dozen child processes of the executor.
+    """
+    before = _few.set(rows < FEW * n_parts(spark))
+    try:
+        yield
+    finally:
+        _few.reset(before)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` itself, stashed where it has few rows (``sized``)."""
+    return stash(df, "settled") if _few.get() else df
+
+
 HOT = 1024
 
 

@@ -32,7 +32,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fresh_path, n_parts, stash, tell, text_or_empty, whole
+from millrace.llm.common import fresh_path, n_parts, settled, sized, stash, tell, text_or_empty, whole
 
 
 class DigestIndex:
@@ -107,6 +107,11 @@ def new_index(spark: SparkSession) -> DigestIndex:
 
 def kept_rows(docs: DataFrame, index: DigestIndex, batch: str | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
+    with sized(docs.sparkSession, docs.count()):
+        return settled(_kept_rows(docs, index, batch))
+
+
+def _kept_rows(docs: DataFrame, index: DigestIndex, batch: str | None) -> DataFrame:
     key = ["digest", "id", "nameless"]
     stay = dedup(docs, index, batch).filter("kept")
     stay = stay.select("digest", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("nameless")).distinct()

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import setlinks
-from millrace.llm.common import numbered, stash, text_or_empty, whole
+from millrace.llm.common import numbered, settled, sized, stash, text_or_empty, whole
 from millrace.llm.components import components
 from millrace.llm.setindex import classes_of, entries, labelled, nameless, sets, texts_of
 from millrace.llm.shingles import mix, sketches
@@ -85,6 +85,11 @@ def near_duplicates(docs: DataFrame, params: NearParams | None = None) -> DataFr
 
 def kept_rows(docs: DataFrame, params: NearParams | None = None) -> DataFrame:
     """One row of each group of near duplicates, with its columns: the one with the smallest doc_id (of these, the smallest text hash)."""
+    with sized(docs.sparkSession, docs.count()):
+        return settled(_kept_rows(docs, params))
+
+
+def _kept_rows(docs: DataFrame, params: NearParams | None) -> DataFrame:
     ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL")
     own = _own(docs).alias("_own")
     keyed = docs.select(whole(docs).alias("row"), F.col("doc_id").alias("id"), "text", own)

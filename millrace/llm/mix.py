@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import numbered, stash, whole
+from millrace.llm.common import numbered, settled, sized, stash, whole
 
 LEVELS = 16  # quantiles of the weights that tell the keys' distribution
 WORD = r"[^\x20\x09-\x0D]+"
@@ -153,6 +153,11 @@ def copies(docs: DataFrame, weights: DataFrame | None = None, params: MixParams
 
     Equal rows share one count, so a row is found by its doc_id and a hash of all its columns.
     """
+    with sized(docs.sparkSession, docs.count()):
+        return settled(_copies(docs, weights, params))
+
+
+def _copies(docs: DataFrame, weights: DataFrame | None, params: MixParams | None) -> DataFrame:
     own = F.xxhash64(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
     taken = mix(docs, weights, params, {"own": own})
     times = taken.select("doc_id", "own", F.ceil(F.col("taken") / F.greatest("size", F.lit(1))).alias("times"))

@@ -73,7 +73,7 @@ def word_features(raw: str) -> tuple[str, ...]:
 class _Reader:
     """Texts to feature sets; remembers chunks, up to a bound."""
 
-    def __init__(self, wanted: set[str] | None = None, most: int = 400_000):
+    def __init__(self, wanted: set[str] | None = None, most: int = 100_000):
         self.wanted, self.most, self.known = wanted, most, {}
 
     def __call__(self, text: str | None) -> set[str]:
